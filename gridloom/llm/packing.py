@@ -139,7 +139,7 @@ def pack(items: DataFrame, cap: Capacity | None = None) -> DataFrame:
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("_row", place).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+    ranked = salted.withColumn("_row", place).join(before.hint("merge"), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     return _placed(ranked.drop("_salt", "_before", "_row"), steps)
 
 
