@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import ship
 
-from . import byte_bpe, exact_dedup, language_id, packing, token_files, toxicity
+from . import byte_bpe, exact_dedup, language_id, packing, simhash, token_files, toxicity
 from .common import is_train
 
 
@@ -33,6 +33,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"), radius=2, size=3)
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
