@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import ship
 
-from . import byte_bpe, exact_dedup, language_id, packing, simhash, token_files, toxicity
+from . import byte_bpe, exact_dedup, language_id, mtree_search, packing, simhash, token_files, toxicity, url_filter
 from .common import is_train
 
 
@@ -33,6 +33,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+#: (host, path) -> verdict
+URL_RULES = {("org", "/"): "allow", ("example.org", "/es/"): "block", ("example.org", "/en/1"): "block", ("com", "/fr/"): "allow", ("com", "/de/"): "block"}
+#: Hosts that are blocked, with their subdomains, where no rule fits.
+URL_BLOCKED = [f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
+
+
+def op8_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"), radius=2, size=3)
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -71,11 +85,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_url_filter": op7_url_filter,
+    "op8_mtree_top_k": op8_mtree_top_k,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_url_filter": r"""
+        WITH split AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS row_no FROM split),
+        rules(rule_host, rule_path, decision) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        fits AS (
+            SELECT row_no, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(decision, length(rule_host || rule_path)) AS decision
+            FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row_no)
+        SELECT page_id, host, path, rule,
+               coalesce(decision, CASE WHEN regexp_matches(host, '(^|\.)(adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parts LEFT JOIN fits USING (row_no)""",
+    "op8_mtree_top_k": r"""
+        WITH fine AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        flat AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM fine),
+        scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM flat q JOIN flat c ON q.i = c.i AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
