@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import ship
 
-from . import byte_bpe, exact_dedup, language_id, mtree_search, packing, simhash, token_files, toxicity, url_filter
+from . import byte_bpe, exact_dedup, language_id, license_scan, mtree_search, packing, simhash, token_files, toxicity, url_filter
 from .common import is_train
 
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def held_out() -> Column:
     return ~is_train(F.col("doc_id"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,

@@ -281,6 +281,19 @@ def near_groups(docs: DataFrame, radius: int = 2, blocks: int = 4, size: int = 3
     return attach(rows, named, ["fp"], "uses", max(1, rows.count())).select("doc_id", "fp", "component_id")
 
 
+def near_dedup(docs: DataFrame, radius: int = 2, blocks: int = 4, size: int = 3) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that with the component's id as doc_id.
+
+    Rows without a doc_id are kept. Of rows that repeat that doc_id, one stays.
+    """
+    groups = near_groups(docs, radius, blocks, size)
+    kept = written(groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct(), "kept")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
+    if docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.filter(F.col("doc_id").isNull()))
+
+
 def hex_fingerprint(fp):  # noqa: ANN001, ANN201
     """16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
