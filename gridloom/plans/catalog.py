@@ -1,19 +1,447 @@
-"""Registered queries and their DuckDB twins."""
+"""Registered queries over the driver tables and their DuckDB twins.
+
+Cube E: ``embeddings`` as frames of 8 x 8 pixels, 25 frames to a navigation row. Cube V: ``events`` by day and hour
+against event type and user group. Cube T: ``lineitem`` by supplier against line number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom import analysis as A
+from gridloom import udf as U
+from gridloom.cube import Cube
+from gridloom.functions import masks as M
+from gridloom.operators import center_of_mass as com
+from gridloom.operators import corrections as C
+from gridloom.operators import masked, reduce, ring_stats
+from gridloom.session import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+SIDE, ROW = 8, 25
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with its SQL over ``p`` (pixels of E), ``a`` (the same with absolute values) or the tables."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = (WITH + sql.removeprefix("WITH ")) if not sql.lstrip().startswith("SELECT") else WITH.rstrip().rstrip(",") + " " + sql
+        return f
+
+    return add
+
+
+WITH = """WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS px FROM embeddings),
+    p AS (SELECT vec_id AS frame_id, vec_id // 25 AS nav_y, vec_id % 25 AS nav_x, px::BIGINT AS px, (px // 8)::INTEGER AS sy, (px % 8)::INTEGER AS sx, v FROM u),
+    a AS (SELECT * REPLACE (abs(v) AS v) FROM p), """
+
+
+def r6(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def cube_e(spark: SparkSession, sf_dir: str, absolute: bool = False) -> Cube:
+    df = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = df.count()
+    frame = F.col("embedding").cast("array<double>")
+    if absolute:
+        frame = F.transform(frame, F.abs)
+    cube = Cube.from_dataframe(df, "vec_id", frame, (-(-n // ROW), ROW), (SIDE, SIDE))
+    return cube if n % ROW == 0 else Cube(cube.df, cube.nav_shape, cube.sig_shape, selected=True)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+# reductions
+
+
+@query("SELECT px, round(sum(v), 6) + 0.0 AS intensity FROM p GROUP BY px")
+def sum_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.sum_frames(cube_e(spark, sf_dir)), "intensity")
+
+
+@query("SELECT px, round(sum(v), 6) + 0.0 AS intensity FROM p GROUP BY px")
+def sum_frames_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.sum_frames(cube_e(spark, sf_dir), method="kernel"), "intensity")
+
+
+@query("SELECT frame_id, round(sum(v), 6) + 0.0 AS intensity FROM p GROUP BY frame_id")
+def sum_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.sum_sig(cube_e(spark, sf_dir)), "intensity")
+
+
+@query("WITH m AS (SELECT frame_id, min(v) AS low FROM p GROUP BY 1) SELECT px, round(sum(ln(v - low + 1)), 6) + 0.0 AS logsum FROM p JOIN m USING (frame_id) GROUP BY px")
+def logsum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.logsum(cube_e(spark, sf_dir)), "logsum")
+
+
+_SD = "SELECT px, count(*) AS num_frames, round(sum(v), 6) + 0.0 AS sum, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v) * count(*), 6) + 0.0 AS varsum, round(var_pop(v), 6) + 0.0 AS var, round(stddev_pop(v), 6) + 0.0 AS std FROM p {} GROUP BY px"
+_SD_NAMES = ("sum", "mean", "varsum", "var", "std")
+
+
+@query(_SD.format(""))
+def stddev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.stddev(cube_e(spark, sf_dir)), *_SD_NAMES)
+
+
+@query(_SD.format(""))
+def stddev_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.stddev(cube_e(spark, sf_dir), method="kernel"), *_SD_NAMES)
+
+
+@query(_SD.format("WHERE frame_id BETWEEN 50 AND 174"))
+def stddev_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.stddev(cube_e(spark, sf_dir).roi[2:7]), *_SD_NAMES)
+
+
+@query("SELECT px, greatest(0.0, max(v)) AS intensity FROM p GROUP BY px")
+def max_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.max_frame(cube_e(spark, sf_dir))
+
+
+@query("SELECT frame_id, round(avg(v), 6) + 0.0 AS mean, min(v) AS min, max(v) AS max, round(stddev_pop(v), 6) + 0.0 AS std FROM p GROUP BY frame_id")
+def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.frame_stats(cube_e(spark, sf_dir)), "mean", "std")
+
+
+@query("SELECT px, round(sum(v), 6) + 0.0 AS intensity FROM p WHERE v > 0.1 GROUP BY px")
+def threshold_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.threshold_sum(cube_e(spark, sf_dir), 0.1), "intensity")
+
+
+@query("SELECT px, count(*) AS num_frames FROM p GROUP BY px")
+def count_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.count_frames(cube_e(spark, sf_dir))
+
+
+@query("SELECT frame_id, (sy // 3)::INTEGER AS bin_y, (sx // 3)::INTEGER AS bin_x, round(avg(v), 6) + 0.0 AS v FROM p GROUP BY 1, 2, 3")
+def bin_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.bin_pixels(cube_e(spark, sf_dir), 3), "v")
+
+
+# selections
+
+
+@query("SELECT px, round(sum(v), 6) + 0.0 AS intensity FROM p WHERE (nav_y - 5) ** 2 + (nav_x - 12) ** 2 <= 16 GROUP BY px")
+def sum_frames_disk_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return _rounded(reduce.sum_frames(cube.select(A.region("disk", cube.nav_shape, cx=12, cy=5, r=4))), "intensity")
+
+
+@query("SELECT px, round(sum(v), 6) + 0.0 AS intensity FROM p WHERE nav_x BETWEEN 3 AND 8 AND nav_y BETWEEN 2 AND 6 GROUP BY px")
+def sum_frames_rect_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return _rounded(reduce.sum_frames(cube.select(A.region("rect", cube.nav_shape, x=3, y=2, width=5, height=4))), "intensity")
+
+
+@query("SELECT frame_id, nav_y::INTEGER AS nav_y, nav_x::INTEGER AS nav_x, px, v FROM p WHERE (nav_y, nav_x) IN ((1, 2), (3, 4), (0, 0))")
+def pick_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return cube.with_nav(cube.select([(1, 2), (3, 4), (0, 0)]).pixels())
+
+
+@query("SELECT frame_id, v AS intensity FROM p WHERE sy = 2 AND sx = 5")
+def pick_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.pick_pixel(cube_e(spark, sf_dir), 2, 5)
+
+
+@query("SELECT DISTINCT frame_id, nav_y::INTEGER AS nav_y, nav_x::INTEGER AS nav_x FROM p WHERE NOT (nav_y = 1 AND nav_x = 1)")
+def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.coordinates(cube_e(spark, sf_dir).select([((1, 1), False)]))
+
+
+@query("WITH s AS (SELECT frame_id, sum(v) AS s FROM p WHERE nav_y = 2 GROUP BY 1), g AS (SELECT DISTINCT frame_id, nav_y, nav_x FROM p) SELECT frame_id, nav_y::INTEGER AS nav_y, nav_x::INTEGER AS nav_x, coalesce(round(s, 6) + 0.0, 'NaN'::DOUBLE) AS intensity, s IS NOT NULL AS valid FROM g LEFT JOIN s USING (frame_id)")
+def embedded_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return _rounded(cube.embed(reduce.sum_sig(cube.roi[2])), "intensity")
+
+
+@query("SELECT frame_id - 7 AS frame_id, round(sum(v), 6) + 0.0 AS intensity FROM p WHERE frame_id >= 7 GROUP BY 1")
+def sync_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.sum_sig(cube_e(spark, sf_dir).synced(7)), "intensity")
+
+
+@query("SELECT px AS frame_id, count(*) AS n, round(sum(v * frame_id), 6) + 0.0 AS moment FROM p GROUP BY px")
+def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cube_e(spark, sf_dir).transposed().df
+    moment = F.aggregate(F.transform("frame", lambda v, i: v * i), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("frame_id", F.size("frame").cast("long").alias("n"), r6(moment).alias("moment"))
+
+
+# masks
+
+
+@query("SELECT frame_id, round(sum(CASE WHEN (sy - 4) ** 2 + (sx - 4) ** 2 <= 4 THEN v ELSE 0 END), 6) + 0.0 AS disk, round(sum(CASE WHEN (sy - 4) ** 2 + (sx - 4) ** 2 > 4 AND (sy - 4) ** 2 + (sx - 4) ** 2 <= 16 THEN v ELSE 0 END), 6) + 0.0 AS ring, round(sum(v * sx), 6) + 0.0 AS gradient FROM p GROUP BY frame_id")
+def apply_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stack = np.stack((M.circular(4, 4, SIDE, SIDE, 2), M.ring(4, 4, SIDE, SIDE, 4, 2), M.gradient_x(SIDE, SIDE))).astype(float)
+    return _rounded(masked.apply_masks(cube_e(spark, sf_dir), stack, names=["disk", "ring", "gradient"]), "disk", "ring", "gradient")
+
+
+@query("SELECT frame_id, round(sum(CASE WHEN (sy - 4) ** 2 + (sx - 4) ** 2 <= 1 THEN v ELSE 0 END), 6) + 0.0 AS disk FROM p GROUP BY frame_id")
+def apply_masks_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(masked.apply_masks(cube_e(spark, sf_dir), M.circular(4, 4, SIDE, SIDE, 1)[None].astype(float), names=["disk"], method="join"), "disk")
+
+
+@query("SELECT frame_id, round(sum(CASE WHEN (sy - 5) ** 2 + (sx - 3) ** 2 <= 4 THEN v ELSE 0 END), 6) + 0.0 AS disk FROM p GROUP BY frame_id")
+def apply_masks_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(masked.apply_masks(cube_e(spark, sf_dir), M.circular(4, 4, SIDE, SIDE, 2)[None].astype(float), shifts=(1.9, -1), names=["disk"], method="kernel"), "disk")
+
+
+@query("SELECT frame_id, round(sum(CASE WHEN (sy - frame_id % 3 - 4) ** 2 + (sx + frame_id % 2 - 4) ** 2 <= 4 AND sy - frame_id % 3 BETWEEN 0 AND 7 AND sx + frame_id % 2 BETWEEN 0 AND 7 THEN v ELSE 0 END), 6) + 0.0 AS disk FROM p GROUP BY frame_id")
+def apply_masks_frame_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    shifts = cube.df.select("frame_id", (F.col("frame_id") % 3).alias("dy"), (-(F.col("frame_id") % 2)).alias("dx"))
+    return _rounded(masked.apply_masks(cube, M.circular(4, 4, SIDE, SIDE, 2)[None].astype(float), shifts=shifts, names=["disk"]), "disk")
+
+
+@query("SELECT DISTINCT px, 0::INTEGER AS mask_id, 1.0::DOUBLE AS w FROM p WHERE (sy - 4) ** 2 + (sx - 3) ** 2 <= 6.25 UNION ALL SELECT DISTINCT px, 1::INTEGER, 1.0::DOUBLE FROM p WHERE (sy - 4) ** 2 + (sx - 3) ** 2 > 4 AND (sy - 4) ** 2 + (sx - 3) ** 2 <= 12.25 UNION ALL SELECT DISTINCT px, 2::INTEGER, 1.0::DOUBLE FROM p WHERE sy BETWEEN 1 AND 4 AND sx BETWEEN 2 AND 3")
+def mask_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stack = np.stack((M.circular(3, 4, SIDE, SIDE, 2.5), M.ring(3, 4, SIDE, SIDE, 3.5, 2), M.rectangular(2, 1, 1, 3, SIDE, SIDE))).astype(float)
+    return M.mask_table(spark, stack)
+
+
+@query("SELECT frame_id, round(sum(CASE WHEN d2 <= 4 THEN v WHEN d2 <= 16 THEN -v * inner_n / outer_n ELSE 0 END), 6) + 0.0 AS mask_0 FROM (SELECT *, (sy - 4) ** 2 + (sx - 4) ** 2 AS d2 FROM p) CROSS JOIN (SELECT count(*) FILTER (d2 <= 4) AS inner_n, count(*) FILTER (d2 > 4 AND d2 <= 16) AS outer_n FROM (SELECT (sy - 4) ** 2 + (sx - 4) ** 2 AS d2 FROM p WHERE frame_id = 0)) GROUP BY frame_id")
+def background_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(masked.apply_masks(cube_e(spark, sf_dir), M.background_subtraction(4, 4, SIDE, SIDE, 4, 2)[None]), "mask_0")
+
+
+# centre of mass
+
+_COM = """m AS (SELECT frame_id, nav_y, nav_x, sum(v) AS s, sum(v * sy) AS my, sum(v * sx) AS mx FROM a GROUP BY ALL),
+    raw AS (SELECT frame_id, nav_y::INTEGER AS nav_y, nav_x::INTEGER AS nav_x, CASE WHEN s = 0 THEN 0 ELSE my / s - 4 END AS y, CASE WHEN s = 0 THEN 0 ELSE mx / s - 4 END AS x FROM m)"""
+
+
+@query("WITH " + _COM + " SELECT frame_id, round(y, 6) + 0.0 AS raw_y, round(x, 6) + 0.0 AS raw_x FROM raw")
+def com_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return com.raw_shifts(cube_e(spark, sf_dir, True), com.ComParams()).select("frame_id", r6("raw_y").alias("raw_y"), r6("raw_x").alias("raw_x"))
+
+
+_GRAD = """CASE WHEN nav_{k} = 0 THEN lead({v}) OVER w{k} - {v} WHEN nav_{k} = top_{k} THEN {v} - lag({v}) OVER w{k} ELSE (lead({v}) OVER w{k} - lag({v}) OVER w{k}) / 2 END"""
+_WINDOWS = " WINDOW wy AS (PARTITION BY nav_x ORDER BY nav_y), wx AS (PARTITION BY nav_y ORDER BY nav_x)"
+
+
+@query(
+    "WITH "
+    + _COM
+    + ", f AS (SELECT *, cos(radians(30)) * -y + sin(radians(30)) * x AS fy, -sin(radians(30)) * -y + cos(radians(30)) * x AS fx, max(nav_y) OVER () AS top_y, 24 AS top_x FROM raw)"
+    + f" SELECT frame_id, round(fy, 6) + 0.0 AS field_y, round(fx, 6) + 0.0 AS field_x, round(sqrt(fy ** 2 + fx ** 2), 6) + 0.0 AS magnitude, round({_GRAD.format(k='y', v='fy')} + {_GRAD.format(k='x', v='fx')}, 6) + 0.0 AS divergence, round({_GRAD.format(k='x', v='fy')} - ({_GRAD.format(k='y', v='fx')}), 6) + 0.0 AS curl FROM f"
+    + _WINDOWS
+)
+def com_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("field_y", "field_x", "magnitude", "divergence", "curl")
+    out = com.center_of_mass(cube_e(spark, sf_dir, True), com.ComParams(scan_rotation=30, flip_y=True))
+    return _rounded(out.select("frame_id", *names), *names)
+
+
+@query("WITH " + _COM + " SELECT frame_id, round(y - avg(y) OVER (), 6) + 0.0 AS field_y, round(x - avg(x) OVER (), 6) + 0.0 AS field_x FROM raw")
+def com_minus_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = com.center_of_mass(cube_e(spark, sf_dir, True), com.ComParams(regression=0), derivatives=False)
+    return _rounded(out.select("frame_id", "field_y", "field_x"), "field_y", "field_x")
+
+
+# on a full grid the two axes are uncorrelated, so the plane's slopes are those of the single regressions
+@query("WITH " + _COM + ", k AS (SELECT regr_slope(y, nav_y) AS yy, regr_slope(y, nav_x) AS yx, avg(y) AS y0, regr_slope(x, nav_y) AS xy, regr_slope(x, nav_x) AS xx, avg(x) AS x0, avg(nav_y) AS cy, avg(nav_x) AS cx FROM raw) SELECT frame_id, round(y - y0 - yy * (nav_y - cy) - yx * (nav_x - cx), 6) + 0.0 AS field_y, round(x - x0 - xy * (nav_y - cy) - xx * (nav_x - cx), 6) + 0.0 AS field_x FROM raw, k")
+def com_minus_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = com.center_of_mass(cube_e(spark, sf_dir, True), com.ComParams(regression=1), derivatives=False)
+    return _rounded(out.select("frame_id", "field_y", "field_x"), "field_y", "field_x")
+
+
+@query(
+    "WITH "
+    + _COM
+    + f", g AS (SELECT *, max(nav_y) OVER () AS top_y, 24 AS top_x FROM raw), d AS (SELECT nav_y, nav_x, top_y, {_GRAD.format(k='y', v='y')} AS yy, {_GRAD.format(k='y', v='x')} AS xy, {_GRAD.format(k='x', v='y')} AS yx, {_GRAD.format(k='x', v='x')} AS xx FROM g{_WINDOWS}),"
+    + " t AS (SELECT unnest(range(360)) AS angle, f FROM (VALUES (1), (-1)) s(f))"
+    + " SELECT (f = -1) AS flip_y, angle, round(sqrt(avg((cos(radians(angle)) * (f * yx - xy) + sin(radians(angle)) * (xx + f * yy)) ** 2)), 6) + 0.0 AS rms FROM d, t WHERE nav_y < top_y AND nav_x < 24 GROUP BY ALL"
+)
+def com_coordinate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir, True)
+    rms = com.coordinate_check(cube.with_nav(com.raw_shifts(cube, com.ComParams())), cube.nav_shape)
+    rows = [(bool(f), int(t), float(rms[f, t])) for f in range(2) for t in range(360)]
+    return _rounded(spark.createDataFrame(rows, "flip_y boolean, angle long, rms double"), "rms")
+
+
+@query()
+def com_guess_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = com.guess_corrections(cube_e(spark, sf_dir, True))
+    return spark.createDataFrame([(g.scan_rotation, g.flip_y, g.cy, g.cx)], "scan_rotation long, flip_y boolean, cy double, cx double")
+
+
+# rings and Fourier space
+
+
+@query("SELECT frame_id, round(stddev_pop(v), 6) + 0.0 AS intensity FROM p WHERE (sy - 4) ** 2 + (sx - 4) ** 2 > 1 AND (sy - 4) ** 2 + (sx - 4) ** 2 <= 9 GROUP BY frame_id")
+def fem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ring_stats.ring_std(cube_e(spark, sf_dir), (4, 4), 1, 3), "intensity")
+
+
+_DFT = """k AS (SELECT (i // 8)::INTEGER AS ky, (i % 8)::INTEGER AS kx FROM range(64) t(i)),
+    {keep}
+    spec AS (SELECT frame_id, ky, kx, sqrt(sum(v * cos(2 * pi() * (ky * sy + kx * sx) / 8)) ** 2 + sum(v * sin(2 * pi() * (ky * sy + kx * sx) / 8)) ** 2) AS magn FROM p, {from_k} {where} GROUP BY ALL)"""
+_HALF = "half AS (SELECT * FROM k WHERE kx <= 4 AND ((ky + 4) % 8 - 4) ** 2 + ((kx + 4) % 8 - 4) ** 2 > 1 AND ((ky + 4) % 8 - 4) ** 2 + ((kx + 4) % 8 - 4) ** 2 <= 9),"
+
+
+@query("WITH " + _DFT.format(keep=_HALF, from_k="half", where="") + " SELECT frame_id, round(sum(magn), 6) + 0.0 AS intensity FROM spec GROUP BY frame_id")
+def crystallinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ring_stats.crystallinity(cube_e(spark, sf_dir), 1, 3), "intensity")
+
+
+@query("WITH " + _DFT.format(keep=_HALF, from_k="half", where="WHERE (sy - 4) ** 2 + (sx - 4) ** 2 > 1") + " SELECT frame_id, round(sum(magn), 6) + 0.0 AS intensity FROM spec GROUP BY frame_id")
+def crystallinity_real_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ring_stats.crystallinity(cube_e(spark, sf_dir), 1, 3, (4, 4), 1), "intensity")
+
+
+@query("WITH " + _DFT.format(keep="", from_k="k", where="WHERE frame_id < 25") + " SELECT frame_id, (((ky + 4) % 8) * 8 + (kx + 4) % 8)::BIGINT AS px, round(magn, 6) + 0.0 AS v FROM spec")
+def fft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir).roi[0]
+    return _rounded(Cube(ring_stats.fft_frames(cube), cube.nav_shape, cube.sig_shape).pixels(), "v")
+
+
+_RF = """b AS (SELECT frame_id, bin, kk AS k, sum(v * w / total * cos(kk * phi)) AS re, sum(v * w / total * sin(kk * phi)) AS im FROM
+      (SELECT p.*, sqrt((sy - 4) ** 2 + (sx - 4) ** 2) AS d, atan2(sy - 4, sx - 4) AS phi FROM p) q
+      JOIN (SELECT *, sum(w) OVER (PARTITION BY bin) AS total FROM (SELECT px, bin, CASE WHEN bin = 0 AND d < 0.5 THEN 1.0 ELSE least(1, greatest(0, 1.5 - abs(d - (bin * 2 + 1)))) END AS w
+            FROM (SELECT DISTINCT px, sqrt((sy - 4) ** 2 + (sx - 4) ** 2) AS d FROM p), (VALUES (0), (1)) t(bin))) USING (px),
+      range(4) o(kk) GROUP BY ALL)"""
+
+
+@query("WITH " + _RF + " SELECT frame_id, bin::INTEGER AS bin, k::INTEGER AS k, round(sqrt(re ** 2 + im ** 2), 6) + 0.0 AS absolute FROM b")
+def radial_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return _rounded(A.RadialFourier(cube, ro=4, n_bins=2, max_order=3).channels(cube)["absolute"], "absolute")
+
+
+@query("WITH " + _RF + ", m AS (SELECT frame_id, bin, k, sqrt(re ** 2 + im ** 2) AS c FROM b WHERE k > 0), t AS (SELECT bin, max(c) AS top FROM m GROUP BY bin), d AS (SELECT frame_id, bin, max(c) AS peak, arg_max(k, c) AS k FROM m GROUP BY 1, 2) SELECT frame_id, bin::INTEGER AS bin, CASE WHEN peak < 0.2 * top THEN 0 ELSE k END::INTEGER AS dominant FROM d JOIN t USING (bin)")
+def radial_fourier_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return A.RadialFourier(cube, ro=4, n_bins=2, max_order=3).channels(cube)["dominant"].withColumn("dominant", F.col("dominant").cast("int"))
+
+
+@query("WITH " + _RF + ", n AS (SELECT frame_id, bin, greatest(1.0, sqrt(re ** 2 + im ** 2)) AS norm FROM b WHERE k = 0) SELECT frame_id, bin::INTEGER AS bin, k::INTEGER AS k, round(re / CASE WHEN k > 0 THEN norm ELSE 1 END, 6) + 0.0 AS re, round(im / CASE WHEN k > 0 THEN norm ELSE 1 END, 6) + 0.0 AS im FROM b JOIN n USING (frame_id, bin)")
+def radial_fourier_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return _rounded(A.RadialFourier(cube, ro=4, n_bins=2, max_order=3).channels(cube)["complex"], "re", "im")
+
+
+# corrections
+
+_DARK = (np.arange(64) % 5 * 0.01).reshape(SIDE, SIDE)
+_GAIN = (1 + np.arange(64) % 3 * 0.5).reshape(SIDE, SIDE)
+_BAD = np.array([(2, 2, 7), (3, 4, 7)])
+_FIX = """c AS (SELECT frame_id, px, sy, sx, (v - px % 5 * 0.01) * (1 + px % 3 * 0.5) AS v FROM p), bad(y, x) AS (VALUES (2, 3), (2, 4), (7, 7)),
+    good AS (SELECT * FROM c WHERE (sy, sx) NOT IN (SELECT (y, x) FROM bad)),
+    fixed AS (SELECT frame_id, px, v FROM good UNION ALL SELECT frame_id, y * 8 + x, avg(v) FROM good JOIN bad ON abs(sy - y) <= 1 AND abs(sx - x) <= 1 GROUP BY ALL)"""
+
+
+@query("WITH " + _FIX + " SELECT frame_id, px::BIGINT AS px, round(v, 6) + 0.0 AS v FROM fixed")
+def corrections_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(C.correct_pixels(cube_e(spark, sf_dir), C.CorrectionSet(_DARK, _GAIN, _BAD)), "v")
+
+
+@query("WITH " + _FIX + " SELECT px::BIGINT AS px, round(sum(v), 6) + 0.0 AS intensity FROM fixed GROUP BY px")
+def corrections_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.sum_frames(C.correct(cube_e(spark, sf_dir), C.CorrectionSet(_DARK, _GAIN, _BAD))), "intensity")
+
+
+@query("WITH " + _FIX.replace("(v - px % 5 * 0.01)", "v") + " SELECT frame_id, round(sum(v * (px % 8)), 6) + 0.0 AS mask_0 FROM fixed GROUP BY frame_id")
+def corrections_in_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = C.fold_into_masks(M.gradient_x(SIDE, SIDE).reshape(1, -1), C.CorrectionSet(gain=_GAIN, excluded=_BAD), (SIDE, SIDE))
+    return _rounded(masked.apply_masks(cube_e(spark, sf_dir), folded.reshape(1, SIDE, SIDE)), "mask_0")
+
+
+# complex cubes: the first four rows of a frame are real parts, the last four imaginary ones
+
+
+def cube_complex(spark: SparkSession, sf_dir: str) -> Cube:
+    e = cube_e(spark, sf_dir)
+    return Cube(e.df.select("frame_id", F.slice("frame", 1, 32).alias("frame"), F.slice("frame", 33, 32).alias("frame_im")), e.nav_shape, (4, 8), True)
+
+
+@query("SELECT px % 32 AS px, round(sum(v) FILTER (px < 32), 6) + 0.0 AS intensity, round(sum(v) FILTER (px >= 32), 6) + 0.0 AS intensity_im FROM p GROUP BY 1")
+def complex_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reduce.sum_frames(cube_complex(spark, sf_dir)), "intensity", "intensity_im")
+
+
+@query("SELECT px % 32 AS px, round(var_pop(v) FILTER (px < 32) + var_pop(v) FILTER (px >= 32), 6) + 0.0 AS var FROM p GROUP BY 1")
+def complex_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.stddev(cube_complex(spark, sf_dir)).select("px", r6("var").alias("var"))
+
+
+@query("WITH s AS (SELECT frame_id, sum(v) FILTER (px < 32) AS re, sum(v) FILTER (px >= 32) AS im FROM p GROUP BY 1) SELECT frame_id, round(sqrt(re ** 2 + im ** 2), 6) + 0.0 AS magn, round(ln(sqrt(re ** 2 + im ** 2)), 6) + 0.0 AS log_magn, round(re, 6) + 0.0 AS real, round(im, 6) + 0.0 AS imag, round(atan2(im, re), 6) + 0.0 AS angle FROM s")
+def complex_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("magn", "log_magn", "real", "imag", "angle")
+    cube = cube_complex(spark, sf_dir)
+    return _rounded(A.SumSig(cube).channels(cube)["intensity"].select("frame_id", *names), *names)
+
+
+# user-defined operators and side inputs
+
+
+class FrameRange(U.FrameUDF):
+    """Largest minus smallest value of each frame, and the largest of all."""
+
+    def get_result_buffers(self) -> dict[str, U.Buffer]:
+        return {"span": self.buffer("nav", dtype=np.float64), "top": self.buffer("single", dtype=np.float64)}
+
+    def process_frame(self, frame: np.ndarray) -> None:
+        self.results.span[:] = frame.max() - frame.min()
+        self.results.top[:] = np.maximum(self.results.top, frame.max())
+
+    def merge(self, dest: dict[str, np.ndarray], src: dict[str, np.ndarray]) -> None:
+        dest["top"][:] = np.maximum(dest["top"], src["top"])
+
+
+@query("SELECT frame_id, max(v) - min(v) AS span, max(max(v)) OVER () AS top FROM p GROUP BY frame_id")
+def user_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = U.run_udf(cube_e(spark, sf_dir), FrameRange())
+    return out.nav.withColumn("top", F.lit(float(out.merged["top"][0])))
+
+
+def _second_moment(frame: np.ndarray) -> np.float64:
+    return np.float64((frame**2).sum())
+
+
+@query("SELECT frame_id, round(sum(v * v), 6) + 0.0 AS result FROM p GROUP BY frame_id")
+def map_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(U.map_frames(cube_e(spark, sf_dir), _second_moment), "result")
+
+
+@query("SELECT frame_id, round(sum(v) * any_value(label), 6) + 0.0 AS weighted FROM p JOIN embeddings e ON frame_id = vec_id GROUP BY frame_id")
+def aux_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    aux = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), "label")
+    return reduce.sum_sig(cube).join(aux, "frame_id").select("frame_id", r6(F.col("intensity") * F.col("label")).alias("weighted"))
+
+
+@query("SELECT round(quantile_cont(v, 0.001), 6) + 0.0 AS low, round(quantile_cont(v, 0.999), 6) + 0.0 AS high FROM p WHERE v <> 0")
+def stat_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = A.stat_limits(cube_e(spark, sf_dir).pixels(), "v")
+    return _rounded(spark.createDataFrame([(low, high)], "low double, high double"), "low", "high")
+
+
+# cubes of the other tables
+
 
-def _sum_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.posexplode("embedding").alias("px", "v"))
-    return pixels.groupBy(F.col("px").cast("long").alias("px")).agg(F.round(F.sum(F.col("v").cast("double")), 6).alias("intensity"))
+@query("SELECT frame_id, round(sum(total), 6) + 0.0 AS intensity FROM (SELECT (epoch(date_trunc('day', ts)) / 86400)::BIGINT % 30 * 24 + hour(ts) AS frame_id, event_type, user_id % 8 AS g, sum(value) AS total FROM events GROUP BY ALL) GROUP BY frame_id")
+def events_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.floor(F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp"))) / 86400).cast("long")
+    kinds = F.pmod(F.xxhash64("event_type"), F.lit(64))
+    pixels = rows.select((day % 30 * 24 + F.hour("ts")).cast("long").alias("frame_id"), (kinds * 8 + F.col("user_id") % 8).cast("long").alias("px"), F.col("value").alias("v"))
+    return pixels.groupBy("frame_id").agg(r6(F.sum("v")).alias("intensity"))
 
 
-QUERIES = {"sum_frames": _sum_frames}
-ORACLES = {
-    "sum_frames": """
-        WITH p AS (SELECT unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) - 1 px FROM embeddings)
-        SELECT px, round(sum(v), 6) AS intensity FROM p GROUP BY px"""
-}
+@query("SELECT l_suppkey AS frame_id, (l_linenumber - 1)::BIGINT AS px, sum(l_quantity) AS v FROM lineitem GROUP BY ALL")
+def lineitem_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("frame_id"), (F.col("l_linenumber") - 1).cast("long").alias("px"), F.col("l_quantity").alias("v"))
+    top = rows.agg(F.max("frame_id")).first()[0]
+    return Cube.from_pixels(rows, (top + 1,), (7,)).pixels().filter("v <> 0")
