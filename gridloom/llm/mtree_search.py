@@ -20,7 +20,6 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +28,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Entries of a page.
-PAGE = 64
+PAGE = 128
 #: Candidates of a shard at most, and the size from which small tables use several shards.
 SHARD, LEAST = 16_384, 2_048
 SLACK = 1e-9
+#: Queries searched in step.
+QUERIES = 1024
 
 
 class Node:
     """A page: child entries (or the leaf's vectors) with radii and distances to this node's routing vector."""
 
-    __slots__ = ("children", "rows", "centres", "radii", "parent")
+    __slots__ = ("children", "rows", "centres", "radii", "parent", "numbers")
 
     def __init__(self, children: list[Node] | None, rows: np.ndarray | None, centres: np.ndarray | None, radii: np.ndarray | None, parent: np.ndarray) -> None:
         self.children, self.rows, self.centres, self.radii, self.parent = children, rows, centres, radii, parent
+        self.numbers: np.ndarray | None = None  # of the children, while a search runs
 
 
 class MTree:
@@ -89,56 +91,83 @@ class MTree:
             return np.array_split(rows[np.argsort(far, kind="stable")], max(2, fan))
         return groups
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k largest products with ``query``, without the vectors of id ``own``."""
-        none = np.zeros(0, np.int64)
-        if self.root is None or k < 1:
-            return none, none
-        exact = query.astype(np.float64)
-        point = np.append(exact, 0.0)
-        square = float((exact**2).sum())
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, id, score) of the k largest products of each query, without vectors of the query's own id.
+
+        Best-first for all queries in step: in each round every query takes the nodes of least possible distance from
+        its own frontier, queries that take the same node are handled together, and a query is done once its frontier
+        has no node within the distance of its k-th result.
+        """
+        n = len(queries)
+        exact = queries.astype(np.float64)
+        square = (exact**2).sum(axis=1)
+        points = np.column_stack((exact, np.zeros(n)))
         whole = square + self.bound
         slack = SLACK * (whole + 1.0)
-        small = self.small and square < 2.0**52
-        best_ids, best = none, none
-        reach = np.inf  # distance of the k-th so far
-        d = float(np.sqrt(((point - self.centre) ** 2).sum()))
-        heap: list[tuple[float, int, Node, float]] = [(0.0, 0, self.root, d)]
-        count = 0
-        while heap:
-            least, _, node, to_centre = heapq.heappop(heap)
-            if least > reach:
-                break
-            if node.children is None:
-                rows = node.rows
-                if reach < np.inf:
-                    rows = rows[np.abs(to_centre - node.parent) <= reach]
-                if not len(rows):
-                    continue
-                score = (self.exact[rows] @ exact).astype(np.int64) if small else self.vectors[rows] @ query.astype(np.int64)
-                ids = self.ids[rows]
-                if len(best) == k:
-                    good = (score >= best[-1]) & (ids != own)
+        small = self.small and float(square.max(initial=0.0)) < 2.0**52
+        integers = None if small else queries.astype(np.int64)
+        none = np.zeros(0, np.int64)
+        best = (none, none, none)  # query, id, score in final order
+        if self.root is None or k < 1 or not n:
+            return best
+        last = np.full(n, -(2**62), np.int64)  # score of the k-th so far
+        reach = np.full(n, np.inf)
+        nodes = [self.root]
+        front_q, front_node = np.arange(n), np.zeros(n, np.int64)
+        front_low = np.zeros(n)
+        front_far = np.sqrt(((points - self.centre) ** 2).sum(axis=1))
+        take = 1
+        while len(front_q):
+            order = np.lexsort((front_low, front_q))
+            front_q, front_node, front_low, front_far = front_q[order], front_node[order], front_low[order], front_far[order]
+            place = np.arange(len(front_q)) - np.searchsorted(front_q, front_q)
+            now = place < take
+            q, node, far = front_q[now], front_node[now], front_far[now]
+            kept = [[front_q[~now]], [front_node[~now]], [front_low[~now]], [front_far[~now]]]
+            order = np.argsort(node, kind="stable")
+            q, node, far = q[order], node[order], far[order]
+            cuts = np.flatnonzero(np.diff(node)) + 1
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for mine, at, away in zip(np.split(q, cuts), node[np.concatenate(([0], cuts))].tolist(), np.split(far, cuts), strict=True):
+                page = nodes[at]
+                # what the stored parent distance rules out for all of these queries is not looked at
+                gap = np.abs(away[:, None] - page.parent[None, :])
+                if page.children is None:
+                    open_ = gap <= reach[mine][:, None]
+                    columns = np.flatnonzero(open_.any(axis=0))
+                    rows = page.rows[columns]
+                    score = (exact[mine] @ self.exact[rows].T).astype(np.int64) if small else integers[mine] @ self.vectors[rows].T
+                    i, j = np.nonzero((score >= last[mine][:, None]) & (self.ids[rows][None, :] != own[mine][:, None]))
+                    if len(i):
+                        found.append((mine[i], self.ids[rows[j]], score[i, j]))
                 else:
-                    good = ids != own
-                if not good.any():
-                    continue
-                best_ids, best = np.concatenate((best_ids, ids[good])), np.concatenate((best, score[good]))
-                order = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[order], best[order]
-                if len(best) == k:
-                    reach = float(np.sqrt(max(whole - 2.0 * float(best[-1]), 0.0) + slack)) * (1 + SLACK) + SLACK
-            else:
-                maybe = np.arange(len(node.children)) if reach == np.inf else np.flatnonzero(np.abs(to_centre - node.parent) - node.radii <= reach)
-                if not len(maybe):
-                    continue
-                far = np.sqrt(np.maximum(((node.centres[maybe] - point) ** 2).sum(axis=1), 0.0))
-                low = np.maximum(far - node.radii[maybe], 0.0) * (1 - SLACK) - SLACK
-                for i, a, b in zip(maybe.tolist(), far.tolist(), low.tolist(), strict=True):
-                    if b <= reach:
-                        count += 1
-                        heapq.heappush(heap, (b, count, node.children[i], a))
-        return best_ids, best
+                    i, j = np.nonzero(gap - page.radii[None, :] <= reach[mine][:, None])
+                    if not len(i):
+                        continue
+                    distance = np.sqrt(np.maximum(((points[mine[i]] - page.centres[j]) ** 2).sum(axis=1), 0.0))
+                    low = np.maximum(distance - page.radii[j], 0.0) * (1 - SLACK) - SLACK
+                    if page.numbers is None:
+                        page.numbers = np.arange(len(nodes), len(nodes) + len(page.children))
+                        nodes += page.children
+                    for into, part in zip(kept, (mine[i], page.numbers[j], low, distance), strict=True):
+                        into.append(part)
+            if found:
+                all_q, all_id, all_score = (np.concatenate(x) for x in zip(best, *found, strict=True))
+                order = np.lexsort((all_id, -all_score, all_q))
+                all_q, all_id, all_score = all_q[order], all_id[order], all_score[order]
+                place = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
+                first = place < k
+                best = (all_q[first], all_id[first], all_score[first])
+                full = place == k - 1
+                last[all_q[full]] = all_score[full]
+                reach[all_q[full]] = np.sqrt(np.maximum(whole[all_q[full]] - 2.0 * all_score[full], 0.0) + slack[all_q[full]]) * (1 + SLACK) + SLACK
+                take = min(8, take * 2)
+            front_q, front_node, front_low, front_far = (np.concatenate(x) for x in kept)
+            near = front_low <= reach[front_q]
+            front_q, front_node, front_low, front_far = front_q[near], front_node[near], front_low[near], front_far[near]
+        for node in nodes:
+            node.numbers = None
+        return best
 
 
 def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -182,27 +211,31 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard
     dealt = candidates.unionByName(copies).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids: list[int] = []
+        held_ids: list[np.ndarray] = []
         held: list[bytes] = []
         tree, wide, current = None, 0, None
         for batch in batches:
-            shard_of, kind, ids, data = (batch.column(c).to_pylist() for c in range(4))
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for s, which, i, v in zip(shard_of, kind, ids, data, strict=True):
-                if s != current:
-                    held_ids, held, tree, current = [], [], None, s
-                if which == 0:
-                    held_ids.append(i)
-                    held.append(v)
+            shard_of, kind, ids = (np.asarray(batch.column(c)) for c in range(3))
+            data = batch.column(3).to_pylist()
+            cuts = np.flatnonzero((np.diff(shard_of) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                if a == b:
+                    continue
+                if shard_of[a] != current:
+                    held_ids, held, tree, current = [], [], None, shard_of[a]
+                if kind[a] == 0:
+                    held_ids.append(ids[a:b])
+                    held += data[a:b]
                     continue
                 if tree is None:
                     matrix = _matrix(held)
-                    tree, wide = MTree(np.array(held_ids, np.int64), matrix), matrix.shape[1]
+                    tree, wide = MTree(np.concatenate([np.zeros(0, np.int64), *held_ids]), matrix), matrix.shape[1]
                     held = []
-                found, score = tree.search(_aligned(np.frombuffer(v, "<i4"), wide), i, k)
-                out.append((i, found, score))
-            if out:
-                yield pa.record_batch([pa.array(np.repeat([q for q, _, _ in out], [len(f) for _, f, _ in out]).astype(np.int64)), pa.array(np.concatenate([f for _, f, _ in out])), pa.array(np.concatenate([x for _, _, x in out]))], ["query_id", "vec_id", "score"])
+                for c in range(a, b, QUERIES):
+                    own = ids[c : min(b, c + QUERIES)]
+                    queries = np.stack([_aligned(np.frombuffer(v, "<i4"), wide) for v in data[c : min(b, c + QUERIES)]])
+                    q, found, score = tree.search(queries, own, k)
+                    yield pa.record_batch([pa.array(own[q]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = dealt.select("shard", "kind", "vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
