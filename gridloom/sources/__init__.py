@@ -1 +1,157 @@
-"""Gridloom sources."""
+"""Sources: binary detector formats as a Spark data source, tables, and arrays.
+
+``register(spark)`` makes ``spark.read.format("gridloom")`` available: the driver reads headers only, each input
+partition is a range of frames, and a range predicate on frame_id narrows the ranges before anything is read.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+from collections.abc import Iterator
+from dataclasses import asdict
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.types import StructType
+
+from gridloom.cube import Cube
+from gridloom.session import ship
+
+from .formats import REGISTRY, Format, FormatError, Layout, RawCSR
+
+__all__ = ["FormatError", "FrameSource", "Layout", "detect", "load", "register", "register_format", "unregister_format"]
+
+#: Bytes of decoded frames (as double) of one input partition.
+PARTITION_BYTES = 128 * 1024 * 1024
+#: Bytes of one Arrow batch.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+class FrameRange(InputPartition):
+    def __init__(self, start: int, stop: int) -> None:
+        super().__init__((start, stop))
+        self.start, self.stop = start, stop
+
+
+class FrameReader(DataSourceReader):
+    def __init__(self, layout: dict, partitions: int | None) -> None:
+        self.layout = layout
+        self.wanted = partitions
+        self.low, self.high = 0, layout["n_frames"]
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes range predicates on frame_id; everything else is left to Spark."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("frame_id",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThanOrEqual)):
+                    self.low = max(self.low, int(f.value))
+                if isinstance(f, GreaterThan):
+                    self.low = max(self.low, int(f.value) + 1)
+                if isinstance(f, (EqualTo, LessThanOrEqual)):
+                    self.high = min(self.high, int(f.value) + 1)
+                if isinstance(f, LessThan):
+                    self.high = min(self.high, int(f.value))
+            else:
+                yield f
+
+    def partitions(self) -> list[FrameRange]:
+        n = self.high - self.low
+        if n <= 0:
+            return [FrameRange(0, 0)]
+        size = 8 * int(np.prod(self.layout["sig_shape"]))
+        parts = self.wanted or max(1, -(-n * size // PARTITION_BYTES))
+        cuts = np.linspace(self.low, self.high, min(parts, n) + 1).astype(int)
+        return [FrameRange(int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
+        layout = Layout(**self.layout)
+        kind = REGISTRY[layout.format]
+        step = max(1, BATCH_BYTES // (8 * layout.n_px))
+        for a in range(partition.start, partition.stop, step):
+            b = min(a + step, partition.stop)
+            x = kind.frames(layout, a, b)
+            columns = [pa.array(np.arange(a, b), pa.int64())]
+            offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * layout.n_px)
+            for part in (x.real, x.imag) if np.iscomplexobj(x) else (x,):
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part, np.float64).reshape(-1))))
+            yield pa.record_batch(columns, ["frame_id", "frame", "frame_im"][: len(columns)])
+
+
+class FrameSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "gridloom"
+
+    def schema(self) -> str:
+        im = ", frame_im array<double>" if np.dtype(json.loads(self.options["layout"])["dtype"]).kind == "c" else ""
+        return "frame_id long, frame array<double>" + im
+
+    def reader(self, schema: StructType) -> FrameReader:
+        parts = self.options.get("partitions")
+        return FrameReader(json.loads(self.options["layout"]), int(parts) if parts else None)
+
+
+def register(spark: SparkSession) -> None:
+    ship(spark).dataSource.register(FrameSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def register_format(name: str, cls: type[Format]) -> None:
+    REGISTRY[name] = cls
+
+
+def unregister_format(name: str) -> None:
+    del REGISTRY[name]
+
+
+def detect(path: str) -> str | None:
+    """The format of a file; formats with the file's extension are tried first."""
+    ext = os.path.splitext(path)[1].lstrip(".").lower()
+    for name, cls in sorted(REGISTRY.items(), key=lambda kv: ext not in kv[1].extensions):
+        if cls.detect(path):
+            return name
+    return None
+
+
+def load(spark: SparkSession, filetype: str, path: str | None = None, *, sync_offset: int = 0, num_partitions: int | None = None, data: np.ndarray | None = None, datashape: tuple[int, ...] | None = None, sig_dims: int = 2, **options) -> Cube:  # noqa: ANN003
+    """A cube from a file (``filetype`` may be ``auto``) or from memory (``memory`` with ``data`` or ``datashape``)."""
+    if filetype == "memory":
+        array = np.zeros(datashape, np.float32) if data is None else np.asarray(data)
+        return Cube.from_numpy(spark, array, sig_dims).synced(sync_offset)
+    if filetype == "auto":
+        filetype = detect(path)
+        if filetype is None:
+            raise FormatError(f"cannot tell the format of {path}")
+    if filetype not in REGISTRY:
+        raise FormatError(f"unknown format {filetype!r}")
+    layout = REGISTRY[filetype].open(path, **options)
+    if int(np.prod(layout.nav_shape)) > layout.n_frames + abs(sync_offset):
+        raise FormatError(f"{layout.n_frames} frames for {layout.nav_shape}")
+    register(spark)
+    reader = spark.read.format("gridloom").option("layout", json.dumps(asdict(layout)))
+    if num_partitions:
+        reader = reader.option("partitions", num_partitions)
+    df = reader.load()
+    shape = tuple(layout.nav_shape)
+    cube = Cube(df, shape, tuple(layout.sig_shape), np.dtype(layout.dtype).kind == "c")
+    if sync_offset:
+        return cube.synced(sync_offset)
+    return cube if cube.n_frames == layout.n_frames else Cube(df.filter(f"frame_id < {cube.n_frames}"), shape, cube.sig_shape, cube.complex)
+
+
+def csr_pixels(spark: SparkSession, path: str, **options):  # noqa: ANN003, ANN201
+    """A sparse file as pixel rows (frame_id, px, v), without making frames dense."""
+    layout = RawCSR.open(path, **options)
+    ranges = spark.range(0, layout.n_frames, 1, max(1, layout.n_frames // 4096))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = np.asarray(batch.column(0))
+                ptr, indices, values = RawCSR.rows(layout, int(ids[0]), int(ids[-1]) + 1)
+                yield pa.record_batch([pa.array(np.repeat(ids, np.diff(ptr))), pa.array(indices), pa.array(values.astype(np.float64))], ["frame_id", "px", "v"])
+
+    return ship(spark) and ranges.mapInArrow(run, "frame_id long, px long, v double")

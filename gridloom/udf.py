@@ -1,19 +1,21 @@
 """User-defined operators over cubes.
 
 A ``FrameUDF`` declares result buffers (kind nav: one row per frame; sig: one per pixel; single: one in all) and
-processes a frame, a batch of frames (tile) or a whole partition. Several operators share one scan: each task emits
-its partial buffers as pickled rows; nav buffers stream out as rows, sig and single buffers are merged pairwise per
-operator in a tree of groups, so the driver receives one merged set and never the partials.
+processes a frame, a batch of frames (tile) or a whole partition. The sig and single buffers of several operators
+share one scan: each task emits its partial buffers, which are merged in a tree of tasks, so the driver receives one
+merged set and never the partials. Nav buffers are a lazy DataFrame of their own with a row per frame.
 """
 
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +172,13 @@ def _nav_values(b: Buffer, v: np.ndarray) -> list:
     return rows if b.extra_shape else [r[0] for r in rows]
 
 
+def _carry(thing) -> None:  # noqa: ANN001
+    """Lets a class or function of the user's own module travel to the workers, which need not have that module."""
+    module = sys.modules.get(getattr(thing, "__module__", None) or "")
+    if module is not None and module.__name__.partition(".")[0] not in ("gridloom", "__main__", "builtins", "numpy") and not hasattr(module, "__path__"):
+        cloudpickle.register_pickle_by_value(module)
+
+
 @dataclass
 class UDFResult:
     """nav: DataFrame (frame_id and nav buffers) or None; merged: final sig and single results; valid: their validity."""
@@ -191,6 +200,7 @@ def run_udf(cube: Cube, udf: FrameUDF | list[FrameUDF], aux: DataFrame | None =
         raise ValueError("no operator to run")
     cube = correct(cube, corrections or cube.corrections)
     for u in udfs:
+        _carry(type(u))
         u.method()
         if u.requires_merge() and type(u).merge is FrameUDF.merge:
             raise UDFError(f"{type(u).__name__} has sig or single buffers and needs a merge")
@@ -316,6 +326,7 @@ def _fresh(udfs: list[FrameUDF], nav: tuple[int, ...], sig: tuple[int, ...]) ->
 
 def map_frames(cube: Cube, f) -> DataFrame:  # noqa: ANN001
     """frame_id, result: f of every frame."""
+    _carry(f)
     made = np.asarray(f(np.ones(cube.sig_shape)))
     b = Buffer("nav", made.shape, made.dtype)
     kind, sig, both = _nav_type(b), cube.sig_shape, cube.complex
