@@ -6,6 +6,7 @@ An analysis is made by a factory of :class:`gridloom.api.Context` and run by ``C
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -200,7 +201,7 @@ class RadialFourier(Analysis):
 
     def stack(self, shape: tuple[int, int]) -> np.ndarray:
         p, (height, width) = self.parameters, shape
-        rings = M.radial_bins(p["cx"], p["cy"], width, height, radius=p["ro"], radius_inner=p["ri"], n_bins=p["n_bins"], normalize=True)
+        rings = M.radial_bins(p["cx"], p["cy"], width, height, radius=p["ro"], radius_inner=p["ri"], n_bins=p["n_bins"])
         _, phi = M.polar_map(p["cx"], p["cy"], width, height)
         orders = np.exp(1j * phi[None] * np.arange(p["max_order"] + 1)[:, None, None])
         return (rings[:, None] * orders[None]).reshape(-1, *shape)
@@ -387,9 +388,25 @@ class Cluster(Analysis):
         return {"intensity": out}
 
 
-def stat_limits(df: DataFrame, column: str) -> tuple[float, float]:
-    """Limits for display: 0.1 % and 99.9 % quantiles of the finite values that are not zero."""
-    v = F.col(column)
-    fine = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0))
-    low, high = fine.agg(F.percentile(v, F.lit(0.001)), F.percentile(v, F.lit(0.999))).first()
-    return (0.0, 1.0) if low is None else (float(low), float(high))
+def stat_limits(df: DataFrame, column: str, quantile: float = 0.001, snip_factor: float = 10.0) -> tuple[float, float]:
+    """Robust limits for display of a column's finite values.
+
+    An end is moved in to the values within the quantiles (of all but zeros; zero is always within) only if it is an
+    outlier: farther from them than ``snip_factor`` times their own size. Two aggregates of one row.
+    """
+    v = F.col(column).cast("double")
+    fine = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(v.alias("v"))
+    solid = F.when(F.col("v") != 0, F.col("v"))
+    low, high, lower, upper, zeros = fine.agg(F.min("v"), F.max("v"), F.percentile(solid, F.lit(quantile)), F.percentile(solid, F.lit(1 - quantile)), F.max(F.col("v") == 0)).first()
+    if low is None:
+        return 1.0, math.nextafter(1.0, math.inf)
+    if lower is not None:
+        if zeros:
+            lower, upper = min(lower, 0.0), max(upper, 0.0)
+        near_low, near_high = fine.filter(F.col("v").between(lower, upper)).agg(F.min("v"), F.max("v")).first()
+        if near_low is not None:
+            if near_low and abs(near_low - low) > snip_factor * abs(near_low):
+                low = near_low
+            if near_high and abs(near_high - high) > snip_factor * abs(near_high):
+                high = near_high
+    return low, high if high != low else math.nextafter(low, math.inf)

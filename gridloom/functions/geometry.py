@@ -84,6 +84,16 @@ def lattice(zero: np.ndarray, a: np.ndarray, b: np.ndarray, indices: np.ndarray)
     return np.asarray(zero) + np.asarray(indices) @ np.stack((a, b))
 
 
+def regular_indices(indices: np.ndarray) -> np.ndarray:
+    """Index pairs as (n, 2), from that form or from a grid of shape (2, n, m)."""
+    indices = np.asarray(indices)
+    if indices.ndim == 3 and indices.shape[0] == 2:
+        return indices.transpose(2, 1, 0).reshape(-1, 2)
+    if indices.ndim == 2 and indices.shape[1] == 2:
+        return indices
+    raise ValueError(f"indices of shape {indices.shape}, not (n, 2) or (2, n, m)")
+
+
 def within_frame(points: np.ndarray, margin: float, height: int, width: int) -> np.ndarray:
     """Which (y, x) points keep ``margin`` to the borders."""
     return (points >= margin).all(axis=-1) & (points < np.array((height, width)) - margin).all(axis=-1)
@@ -91,6 +101,7 @@ def within_frame(points: np.ndarray, margin: float, height: int, width: int) ->
 
 def frame_peaks(height: int, width: int, zero: np.ndarray, a: np.ndarray, b: np.ndarray, margin: float, indices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices and points of the lattice inside a frame."""
-    points = lattice(zero, a, b, indices)
+    pairs = regular_indices(indices)
+    points = lattice(zero, a, b, pairs)
     keep = within_frame(points, margin, height, width)
-    return np.asarray(indices)[keep], points[keep]
+    return pairs[keep], points[keep]

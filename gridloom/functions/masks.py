@@ -79,18 +79,22 @@ def bounding_radius(center_x: float, center_y: float, width: int, height: int) -
 
 
 def radial_bins(center_x: float, center_y: float, width: int, height: int, radius: float | None = None, radius_inner: float = 0.0, n_bins: int | None = None, normalize: bool = False) -> np.ndarray:
-    """A stack of antialiased rings that share out the radii from ``radius_inner`` to ``radius``."""
+    """A stack of antialiased rings that share out the radii from ``radius_inner`` to ``radius``.
+
+    normalize: the sum of each ring is one, before the pixel at the centre is set.
+    """
     radius = bounding_radius(center_x, center_y, width, height) if radius is None else radius
     n_bins = int(np.round(radius - radius_inner)) if n_bins is None else n_bins
     r = distance(center_x, center_y, width, height)
     span = (radius - radius_inner) / n_bins
     middle = radius_inner + span * (np.arange(n_bins) + 0.5)
     out = np.clip(span / 2 + 0.5 - np.abs(r[None] - middle[:, None, None]), 0, 1)
-    if radius_inner < 0.5:  # the pixel at the centre is cut by the innermost ring on all sides
-        out[0][r < 0.5] = 1 - radius_inner
     if normalize:
         total = out.sum(axis=(1, 2), keepdims=True)
-        out = out / np.where(total == 0, 1, total)
+        out = out / np.where(np.isclose(total, 0), 1, total)
+    y, x = int(np.round(center_y)), int(np.round(center_x))
+    if radius_inner < 0.5 and 0 <= y < height and 0 <= x < width:  # the innermost ring meets itself at the centre
+        out[0, y, x] = 1 - radius_inner
     return out
 
 

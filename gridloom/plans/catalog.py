@@ -307,10 +307,10 @@ def fft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(Cube(ring_stats.fft_frames(cube), cube.nav_shape, cube.sig_shape).pixels(), "v")
 
 
-_RF = """b AS (SELECT frame_id, bin, kk AS k, sum(v * w / total * cos(kk * phi)) AS re, sum(v * w / total * sin(kk * phi)) AS im FROM
+_RF = """b AS (SELECT frame_id, bin, kk AS k, sum(v * w * cos(kk * phi)) AS re, sum(v * w * sin(kk * phi)) AS im FROM
       (SELECT p.*, sqrt((sy - 4) ** 2 + (sx - 4) ** 2) AS d, atan2(sy - 4, sx - 4) AS phi FROM p) q
-      JOIN (SELECT *, sum(w) OVER (PARTITION BY bin) AS total FROM (SELECT px, bin, CASE WHEN bin = 0 AND d < 0.5 THEN 1.0 ELSE least(1, greatest(0, 1.5 - abs(d - (bin * 2 + 1)))) END AS w
-            FROM (SELECT DISTINCT px, sqrt((sy - 4) ** 2 + (sx - 4) ** 2) AS d FROM p), (VALUES (0), (1)) t(bin))) USING (px),
+      JOIN (SELECT px, bin, CASE WHEN bin = 0 AND d < 0.5 THEN 1.0 ELSE least(1, greatest(0, 1.5 - abs(d - (bin * 2 + 1)))) END AS w
+            FROM (SELECT DISTINCT px, sqrt((sy - 4) ** 2 + (sx - 4) ** 2) AS d FROM p), (VALUES (0), (1)) t(bin)) USING (px),
       range(4) o(kk) GROUP BY ALL)"""
 
 
@@ -422,9 +422,13 @@ def aux_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.sum_sig(cube).join(aux, "frame_id").select("frame_id", r6(F.col("intensity") * F.col("label")).alias("weighted"))
 
 
-@query("SELECT round(quantile_cont(v, 0.001), 6) + 0.0 AS low, round(quantile_cont(v, 0.999), 6) + 0.0 AS high FROM p WHERE v <> 0")
+@query(
+    "WITH q AS (SELECT quantile_cont(v, 0.01) FILTER (v <> 0) AS lo, quantile_cont(v, 0.99) FILTER (v <> 0) AS hi, bool_or(v = 0) AS z, min(v) AS low, max(v) AS high FROM p),"
+    " f AS (SELECT min(v) AS near_low, max(v) AS near_high FROM p, q WHERE v >= CASE WHEN z THEN least(lo, 0) ELSE lo END AND v <= CASE WHEN z THEN greatest(hi, 0) ELSE hi END)"
+    " SELECT round(CASE WHEN near_low <> 0 AND abs(near_low - low) > 0.1 * abs(near_low) THEN near_low ELSE low END, 6) + 0.0 AS low, round(CASE WHEN near_high <> 0 AND abs(near_high - high) > 0.1 * abs(near_high) THEN near_high ELSE high END, 6) + 0.0 AS high FROM q, f"
+)
 def stat_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = A.stat_limits(cube_e(spark, sf_dir).pixels(), "v")
+    low, high = A.stat_limits(cube_e(spark, sf_dir).pixels(), "v", 0.01, 0.1)
     return _rounded(spark.createDataFrame([(low, high)], "low double, high double"), "low", "high")
 
 

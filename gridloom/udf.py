@@ -80,6 +80,10 @@ class FrameUDF:
         """Merges partial sig and single buffers into ``dest``, in no particular order of frames."""
         raise UDFError(f"{type(self).__name__} has sig or single buffers and needs a merge")
 
+    #: Alternative to merge, if set: merge_all(parts) gets every task's sig and single buffers in the order of their
+    #: first frames and returns the merged ones. All partial buffers meet in one task.
+    merge_all = None
+
     def get_results(self, results: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Final projection of the merged sig and single buffers."""
         return results
@@ -202,7 +206,7 @@ def run_udf(cube: Cube, udf: FrameUDF | list[FrameUDF], aux: DataFrame | None =
     for u in udfs:
         _carry(type(u))
         u.method()
-        if u.requires_merge() and type(u).merge is FrameUDF.merge:
+        if u.requires_merge() and type(u).merge is FrameUDF.merge and u.merge_all is None:
             raise UDFError(f"{type(u).__name__} has sig or single buffers and needs a merge")
     frames = cube.df if aux is None else cube.df.join(aux, "frame_id")
     aux_names = [] if aux is None else [c for c in aux.columns if c != "frame_id"]
@@ -293,22 +297,58 @@ def _merged(cube: Cube, frames: DataFrame, udfs: list[FrameUDF], aux_names: list
             for t in tasks:
                 t.udf.results = _View(t.merged)
                 t.udf.postprocess()
-            yield pa.record_batch([pa.array([first]), pa.array([pickle.dumps([t.merged for t in tasks])], pa.binary())], ["first", "data"])
+            yield pa.record_batch([pa.array([first]), pa.array([pickle.dumps([(first, [t.merged for t in tasks])])], pa.binary())], ["first", "data"])
+
+    def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
+        """(first frame, partial buffers) of every task behind a row."""
+        for data in batch.column(1).to_pylist():
+            yield from pickle.loads(data)  # noqa: S301  written by our own tasks
 
     def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, first = None, 0
+        """Merges what can be merged in any order; buffers with merge_all are handed on, with their places."""
+        total, first, ordered = None, 0, []
         for batch in it:
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = pickle.loads(data)  # noqa: S301  written by our own tasks
+            for at, parts in parts_of(batch):
                 if total is None:
                     total, first = _fresh(udfs, nav, sig), at
-                for u, dest, src in zip(udfs, total, parts, strict=True):
-                    if dest:
+                for k, (u, dest) in enumerate(zip(udfs, total, strict=True)):
+                    if u.merge_all is None and dest:
                         own = u.copy()
                         own.meta = Meta(nav, sig)
-                        own.merge(dest, src)
+                        own.merge(dest, parts[k])
+                if any(u.merge_all is not None for u in udfs):
+                    ordered.append((at, [p if u.merge_all is not None else None for u, p in zip(udfs, parts, strict=True)]))
         if total is not None:
-            yield pa.record_batch([pa.array([first]), pa.array([pickle.dumps(total)], pa.binary())], ["first", "data"])
+            whole = [(first, [t if u.merge_all is None else None for u, t in zip(udfs, total, strict=True)])]
+            out = _spread(whole, ordered) if ordered else whole
+            yield pa.record_batch([pa.array([first]), pa.array([pickle.dumps(out)], pa.binary())], ["first", "data"])
+
+    def _spread(whole: list, ordered: list) -> list:
+        """Puts the merged buffers beside the first of the ordered ones; fresh ones beside the others."""
+        out = []
+        for n, (at, parts) in enumerate(ordered):
+            plain = whole[0][1] if n == 0 else _fresh(udfs, nav, sig)
+            out.append((at, [p if u.merge_all is not None else q for u, p, q in zip(udfs, parts, plain, strict=True)]))
+        return out
+
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in fold(it):
+            every = sorted(parts_of(batch), key=lambda p: p[0])
+            out = list(every[0][1])
+            for k, u in enumerate(udfs):
+                if u.merge_all is not None:
+                    own = u.copy()
+                    own.meta = Meta(nav, sig)
+                    out[k] = own.merge_all([parts[k] for _, parts in every])
+            # of mergeable operators, the first row with its merged buffers isn't always the first in order
+            for k, u in enumerate(udfs):
+                if u.merge_all is None and out[k]:
+                    own = u.copy()
+                    own.meta = Meta(nav, sig)
+                    out[k] = _fresh(udfs, nav, sig)[k]
+                    for _, parts in every:
+                        own.merge(out[k], parts[k])
+            yield pa.record_batch([batch.column(0), pa.array([pickle.dumps(out)], pa.binary())], ["first", "data"])
 
     schema = "first long, data binary"
     parts = frames.select(*_columns(cube, aux_names)).mapInArrow(run, schema)
@@ -316,7 +356,7 @@ def _merged(cube: Cube, frames: DataFrame, udfs: list[FrameUDF], aux_names: list
     while n > FAN:
         n = -(-n // FAN)
         parts = parts.repartition(n, F.xxhash64("first")).mapInArrow(fold, schema)
-    rows = parts.coalesce(1).mapInArrow(fold, schema).collect()
+    rows = parts.coalesce(1).mapInArrow(finish, schema).collect()
     return pickle.loads(rows[0][1]) if rows else _fresh(udfs, nav, sig)  # noqa: S301
 
 

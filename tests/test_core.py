@@ -185,6 +185,33 @@ class Bare(udf.FrameUDF):
         self.results.s[:] += frame
 
 
+class InOrder(udf.FrameUDF):
+    """First frame of every task, in order."""
+
+    def get_result_buffers(self):
+        return {"seen": self.buffer("single", dtype=np.int64), "order": self.buffer("single", (40,), np.int64)}
+
+    def process_frame(self, frame):
+        if not self.results.seen[0]:
+            self.results.order[0, 0] = self.meta.frame_ids[0] + 1
+        self.results.seen[:] += 1
+
+    def merge_all(self, parts):
+        order = np.zeros((1, 40), np.int64)
+        order[0, : len(parts)] = [p["order"][0, 0] for p in parts]
+        return {"seen": sum(p["seen"] for p in parts), "order": order}
+
+
+def test_merge_all_in_order(cube, data, monkeypatch):
+    wide = Cube(cube.df.repartitionByRange(6, "frame_id"), cube.nav_shape, cube.sig_shape)
+    for fan in (32, 2):
+        monkeypatch.setattr(udf, "FAN", fan)
+        ordered, stats = udf.run_udf(wide, [InOrder(), Stats()])
+        got = ordered["order"][0]
+        assert ordered["seen"][0] == 30 and got[0] == 1 and (np.diff(got[got > 0]) > 0).all() and (got > 0).sum() == 6
+        assert stats["n"][0] == 30 and np.allclose(stats["mean"], data.mean((0, 1)))
+
+
 def test_udf(cube, data):
     out = udf.run_udf(cube, Stats())
     assert np.allclose(out["mean"], data.mean((0, 1))) and out["n"][0] == 30 and "total" not in out.merged
@@ -221,7 +248,10 @@ def test_analyses(cube, data):
 def test_mask_generators():
     assert np.isclose(masks.background_subtraction(8, 8, 16, 16, 6, 4).sum(), 0)
     assert np.isclose(masks.balance(masks.radial_gradient_background_subtraction(masks.distance(8, 8, 16, 16), 4, 6)).sum(), 0)
-    assert np.allclose(masks.radial_bins(8, 8, 16, 16, n_bins=4, normalize=True).sum((1, 2)), 1)
+    assert np.allclose(masks.radial_bins(8, 8, 16, 16, n_bins=4, normalize=True).sum((1, 2))[1:], 1)
+    whole = masks.radial_bins(8, 8, 16, 16, radius=6, n_bins=3)
+    assert whole[0, 8, 8] == 1 and np.allclose(whole.sum(0)[masks.circular(8, 8, 16, 16, 5)], 1)
+    assert (geometry.regular_indices(np.mgrid[:2, :3]) == [(0, 0), (1, 0), (0, 1), (1, 1), (0, 2), (1, 2)]).all()
     assert masks.rectangular(1, 1, 2, 3, 8, 8).sum() == 12 and masks.rectangular(3, 4, -2, -3, 8, 8).sum() == 12 and not masks.rectangular(1, 1, 0, 3, 8, 8).any()
     assert masks.binning_stack(5, 5, 2).shape == (9, 5, 5)
     assert masks.circular_stack([2], [2], 5, 5, 1).sum() == 5
