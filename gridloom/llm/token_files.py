@@ -37,6 +37,8 @@ from .vocabularies import library_encoder
 MAGIC = b"PFR1"
 BLOCK = 1024
 PERCENTILE = 0.95
+#: Documents of a shard at most, about, where the number of shards isn't given.
+SHARD_DOCS = 100_000
 HEAD = struct.Struct("<IBH")
 FOOT = struct.Struct("<QQQ4s")
 
@@ -149,7 +151,7 @@ def _place(uri: str):  # noqa: ANN202
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Encodes ``docs`` and writes them as shards in ``folder``; returns shard, n_docs, n_ids, path (a written table)."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // SHARD_DOCS)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("_tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
