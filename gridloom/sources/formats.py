@@ -591,7 +591,7 @@ class K2IS(Format):
 
     name = "k2is"
     extensions = ("gtg", "bin")
-    BLOCK, HEADER, ROWS, COLUMNS = 22320, 40, 930, 16
+    BLOCK, HEADER, ROWS, COLUMNS = 0x5758, 40, 930, 16
     SECTORS, BLOCKS = 8, 32  # blocks of a frame in a sector
 
     @classmethod
