@@ -432,6 +432,12 @@ def stat_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.createDataFrame([(low, high)], "low double, high double"), "low", "high")
 
 
+@query()
+def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    return A.Cluster(cube, n_clust=5, n_peaks=10, min_dist=1).channels(cube)["intensity"]
+
+
 # cubes of the other tables
 
 

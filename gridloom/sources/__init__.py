@@ -14,7 +14,7 @@ from dataclasses import asdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from gridloom.cube import Cube
@@ -80,19 +80,55 @@ class FrameReader(DataSourceReader):
             yield pa.record_batch(columns, ["frame_id", "frame", "frame_im"][: len(columns)])
 
 
+class FrameStream(DataSourceStreamReader):
+    """Frames of a file that grows: each micro-batch has the whole frames that have arrived since the last one."""
+
+    def __init__(self, options: dict) -> None:
+        self.options = options
+        self.most = int(options.get("framespertrigger", 0))
+        self.sent = 0
+
+    def _layout(self) -> Layout:
+        return REGISTRY[self.options["format"]].open(self.options["path"], **json.loads(self.options.get("open", "{}")))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"frame": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        there = self._layout().n_frames
+        self.sent = min(there, self.sent + self.most) if self.most else there
+        return {"frame": self.sent}
+
+    def partitions(self, start: dict, end: dict) -> list[FrameRange]:
+        self.sent = max(self.sent, end["frame"])
+        reader = FrameReader(asdict(self._layout()), None)
+        reader.low, reader.high = start["frame"], end["frame"]
+        return reader.partitions()
+
+    def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
+        return FrameReader(asdict(self._layout()), None).read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held back."""
+
+
 class FrameSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "gridloom"
 
     def schema(self) -> str:
-        im = ", frame_im array<double>" if np.dtype(json.loads(self.options["layout"])["dtype"]).kind == "c" else ""
+        dtype = json.loads(self.options["layout"])["dtype"] if "layout" in self.options else "f8"
+        im = ", frame_im array<double>" if np.dtype(dtype).kind == "c" else ""
         return "frame_id long, frame array<double>" + im
 
     def reader(self, schema: StructType) -> FrameReader:
         parts = self.options.get("partitions")
         return FrameReader(json.loads(self.options["layout"]), int(parts) if parts else None)
 
+    def streamReader(self, schema: StructType) -> FrameStream:  # noqa: N802
+        return FrameStream(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     ship(spark).dataSource.register(FrameSource)
@@ -142,6 +178,15 @@ def load(spark: SparkSession, filetype: str, path: str | None = None, *, sync_of
     return cube if cube.n_frames == layout.n_frames else Cube(df.filter(f"frame_id < {cube.n_frames}"), shape, cube.sig_shape, cube.complex)
 
 
+def follow(spark: SparkSession, filetype: str, path: str, nav_shape: tuple[int, ...], sig_shape: tuple[int, ...], frames_per_trigger: int = 0, **options) -> Cube:  # noqa: ANN003
+    """A streaming cube of a file that is being written (formats that can be opened while they grow, such as raw)."""
+    register(spark)
+    stream = spark.readStream.format("gridloom").option("format", filetype).option("path", path)
+    opened = {k: v for k, v in {**options, "sig_shape": sig_shape}.items() if v is not None}
+    df = stream.option("open", json.dumps(opened)).option("framesPerTrigger", frames_per_trigger).load()
+    return Cube(df, tuple(nav_shape), tuple(sig_shape))
+
+
 def csr_pixels(spark: SparkSession, path: str, **options):  # noqa: ANN003, ANN201
     """A sparse file as pixel rows (frame_id, px, v), without making frames dense."""
     layout = RawCSR.open(path, **options)

@@ -379,3 +379,19 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(60)
     assert sum(seen) == 12
     assert s.in_background(lambda: 5).result(5) == 5
+
+
+def test_follow_a_growing_file(spark, tmp_path):
+    from gridloom import streaming as s
+
+    x = np.random.default_rng(0).random((12, 2, 3)).astype("<f8")
+    path = tmp_path / "live.raw"
+    x.tofile(path)
+    cube = sources.follow(spark, "raw", str(path), (3, 4), (2, 3), frames_per_trigger=5, dtype="<f8")
+    run = s.snapshots(reduce.sum_frames(cube), once=False, checkpoint=str(tmp_path / "ck"))
+    try:
+        run.query.processAllAvailable()
+        assert np.allclose([v for _, v in sorted((r.px, r.intensity) for r in run.latest())], x.reshape(12, -1).sum(0))
+        assert run.progress()["batch"] >= 2
+    finally:
+        run.cancel()
