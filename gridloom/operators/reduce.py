@@ -31,29 +31,59 @@ def _kernel(cube: Cube, method: str) -> bool:
     return not cube.complex and (method == "kernel" or method == "auto" and cube.n_px >= KERNEL_PX)
 
 
+#: Partial vectors merged by one task before they are exploded into pixels.
+FAN = 32
+_VECTORS = "n long, mean array<double>, m2 array<double>, total array<double>"
+
+
+class _Moments:
+    """Count, mean, squared deviations and sum of each pixel; merging is exact in any grouping up to rounding."""
+
+    def __init__(self) -> None:
+        self.n, self.mean, self.m2, self.total = 0, None, None, None
+
+    def add(self, n: int, mean: np.ndarray, m2: np.ndarray, total: np.ndarray) -> None:
+        if not n:
+            return
+        if self.mean is None:
+            self.n, self.mean, self.m2, self.total = n, mean.copy(), m2.copy(), total.copy()
+            return
+        delta, both = mean - self.mean, self.n + n
+        self.m2 += m2 + delta**2 * (self.n * n / both)
+        self.mean += delta * (n / both)
+        self.total += total
+        self.n = both
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.mean is not None:
+            yield pa.record_batch([pa.array([self.n], pa.int64()), *(pa.array([v.tolist()], pa.list_(pa.float64())) for v in (self.mean, self.m2, self.total))], ["n", "mean", "m2", "total"])
+
+
 def _partials(cube: Cube) -> DataFrame:
-    """px, n, mean, m2, total: one row per pixel and task."""
+    """px, n, mean, m2, total: one row per pixel and task (of at most ``FAN`` groups of tasks)."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean, m2, total = 0, None, None, None
+        out = _Moments()
         for batch in batches:
             x = frames_of(batch)
-            if not len(x):
-                continue
-            k, m = len(x), x.mean(axis=0)
-            spread = ((x - m) ** 2).sum(axis=0)
-            if mean is None:
-                n, mean, m2, total = k, m, spread, x.sum(axis=0)
-                continue
-            delta = m - mean
-            m2 += spread + delta**2 * (n * k / (n + k))
-            mean += delta * (k / (n + k))
-            total += x.sum(axis=0)
-            n += k
-        if mean is not None:
-            yield pa.record_batch([pa.array([n], pa.int64()), *(pa.array([v.tolist()], pa.list_(pa.float64())) for v in (mean, m2, total))], ["n", "mean", "m2", "total"])
-
-    rows = cube.df.select("frame").mapInArrow(fold, "n long, mean array<double>, m2 array<double>, total array<double>")
+            if len(x):
+                mean = x.mean(axis=0)
+                out.add(len(x), mean, ((x - mean) ** 2).sum(axis=0), x.sum(axis=0))
+        yield from out.rows()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Moments()
+        for batch in batches:
+            vectors = [frames_of(batch, c) for c in ("mean", "m2", "total")]
+            for n, *parts in zip(batch.column(0).to_pylist(), *vectors, strict=True):
+                out.add(n, *parts)
+        yield from out.rows()
+
+    rows = cube.df.select("frame").mapInArrow(fold, _VECTORS)
+    tasks = 0 if cube.df.isStreaming else cube.df.rdd.getNumPartitions()
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        rows = rows.repartition(tasks).mapInArrow(merge, _VECTORS)
     both = rows.select("n", F.posexplode(F.arrays_zip("mean", "m2", "total")).alias("px", "s"))
     return both.select(F.col("px").cast("long").alias("px"), "n", "s.mean", "s.m2", "s.total")
 
@@ -84,7 +114,7 @@ def stddev(cube: Cube, method: str = "auto") -> DataFrame:
     Of complex cubes the spread is that of both parts together, and sum_im, mean_im are there too.
     """
     if _kernel(cube, method):
-        # a row per task and pixel: the tasks' means of a pixel are few enough to be listed
+        # at most FAN partial means of a pixel: few enough to be listed
         merged = _partials(cube).groupBy("px").agg(F.sum("n").alias("num_frames"), F.sum("total").alias("sum"), F.sum("m2").alias("within"), _between(F.col("n"), F.col("mean")).alias("between"))
         spread = merged.withColumn("mean", F.col("sum") / F.col("num_frames")).withColumn("varsum", F.col("within") + F.col("between"))
     else:

@@ -45,6 +45,13 @@ def test_reductions(cube, data):
     assert (vector(reduce.max_frame(cube.select(np.zeros((5, 6), bool) | True)), 28, "intensity") == flat.max(0)).all()
 
 
+def test_partial_vectors_are_merged_in_a_tree(cube, data, monkeypatch):
+    monkeypatch.setattr(reduce, "FAN", 3)
+    wide = Cube(cube.df.repartition(11), cube.nav_shape, cube.sig_shape)
+    out = reduce.stddev(wide, "kernel")
+    assert np.allclose(vector(out, 28, "std"), data.reshape(30, 28).std(0)) and set(by(out, "px", "num_frames").values()) == {30}
+
+
 def test_selections(cube, data):
     mask = np.random.default_rng(1).random((5, 6)) > 0.5
     assert np.allclose(vector(reduce.sum_frames(cube.select(mask)), 28, "intensity"), data[mask].sum(0).ravel())
