@@ -402,3 +402,36 @@ def test_follow_a_growing_file(spark, tmp_path):
         assert run.progress()["batch"] >= 2
     finally:
         run.cancel()
+
+
+def test_generators(spark):
+    from gridloom.functions import generate as g
+
+    frame, indices, points = g.disk_lattice(all_equal=True)
+    assert frame.shape == (128, 128) and len(indices) == len(points) and frame[64, 64] == 1
+    bad = g.repairable_pixels((16, 16), 9, np.random.default_rng(0))
+    cube_of = Cube(g.gradient_frames(spark, (3, 4), (16, 16), 3), (3, 4), (16, 16))
+    data = g.gradient_cube((3, 4), (16, 16))
+    assert np.allclose(cube_of.to_numpy(), data, rtol=1e-5)
+    broken = data.copy()
+    broken[..., bad[0], bad[1]] = 1e6
+    mended = corr.correct(Cube.from_numpy(spark, broken), corr.CorrectionSet(excluded=bad)).to_numpy()
+    assert np.allclose(mended, data, rtol=1e-5)
+    amp, phi = np.ones((32, 32)), np.zeros((32, 32))
+    holo = g.hologram(amp, phi, blur=1.0)
+    assert holo.shape == (32, 32) and abs(holo.mean() - 1000) < 60
+    with pytest.raises(ValueError):
+        g.hologram(amp, phi[:4])
+
+
+def test_radial_symmetry(spark):
+    """Disks of 1-, 2- and 4-fold symmetry around the centre have their first strong order there."""
+    from gridloom.functions import generate as g
+
+    zero, a = np.array((32.0, 32.0)), np.array((0.0, 16.0))
+    rings = [[(0, 1)], [(0, 1), (0, -1)], [(0, 1), (0, -1), (1, 0), (-1, 0)]]
+    frames = np.stack([g.disk_lattice(64, 64, zero, np.array((16.0, 0.0)), a, np.array(r), 4, True, 0)[0] for r in rings])
+    cube = Cube.from_numpy(spark, frames.reshape(3, 1, 64, 64))
+    ctx = Context(spark)
+    out = ctx.run(ctx.create_radial_fourier_analysis(cube, cx=32, cy=32, ri=10, ro=22, n_bins=1, max_order=8))
+    assert [v for _, v in sorted(by(out["dominant"], "frame_id", "dominant").items())] == [1, 2, 4]
