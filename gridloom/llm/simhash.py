@@ -7,8 +7,8 @@ bit-sliced: bit plane j of up to 64 fingerprints is one machine word, the distan
 together in carry-save counters, and a block of words is left as soon as every counter in it is beyond the radius.
 Buckets too large for that are split by agreement in parts of their free bits, which again loses no link.
 
-A bucket emits a spanning forest of its links, never all pairs; components come from star contraction over written
-tables. Neither links nor fingerprints are gathered anywhere.
+A bucket emits a spanning forest of its links, never all pairs; components come from one task for up to a
+million of them, and from star contraction over written tables beyond. Nothing of this reaches the driver.
 
 Defined results: a null text is an empty one; texts without a word have fingerprint zero and are linked like any
 other; repeated rows are rows of their own with equal results; a component's id is its smallest non-null doc_id; an
@@ -29,6 +29,8 @@ from .common import attach, remove, written
 
 #: Fingerprints compared directly in one bucket; larger buckets are split first.
 DIRECT = 2048
+#: Edges that one task may join into components (16 MB).
+ONE_TASK = 1_000_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -242,9 +244,24 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
     return dealt.select("fp", "table", "key").mapInArrow(run, "a long, b long")
 
 
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+        forest = Forest(len(nodes))
+        forest.join(index[: len(a)], index[len(a) :])
+        yield pa.record_batch([pa.array(nodes), pa.array(nodes[forest.roots()])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node reachable) of all nodes in ``edges`` (a, b), by large-star and small-star steps."""
+    """node, root (the least node reachable) of all nodes in ``edges`` (a, b).
+
+    Up to ``ONE_TASK`` edges (16 bytes each) one task joins them; beyond, large-star and small-star steps do.
+    """
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if current.count() <= ONE_TASK:
+        return current.repartition(1).mapInArrow(_join_all, "node long, root long")
     seen = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))

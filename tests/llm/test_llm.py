@@ -348,9 +348,13 @@ def test_hot_bucket_of_one_key(spark):
     assert len({roots.get(int(v), int(v)) for v in fps}) == len(set(want.tolist()))
 
 
-def test_components_of_a_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {r.node: r.root for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(1, 61)}, 101: 100}
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_components_of_a_path(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "ONE_TASK", limit)
+    edges = ship(spark).createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert {n: r for n, r in got.items() if n != r} == {**{i: 0 for i in range(1, 61)}, 101: 100}
+    assert simhash.components(edges.filter("false")).count() == 0
 
 
 def brute_groups(rows):
