@@ -9,8 +9,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; Spark's default of 64 MB costs several times that on both sides.
+BATCH_BYTES = 8 * 1024 * 1024
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable by the Python workers of ``spark`` (once per context)."""
+    """Make this package importable by the Python workers of ``spark`` (once per context), and bound its Arrow batches.
+
+    The bound is a session setting; one that differs from Spark's default is left as it is.
+    """
+    if spark.conf.get(_LIMIT, None) == "67108864b":
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
     if not getattr(context, "_gridloom_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
