@@ -17,7 +17,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Characters handled at once; bounds the memory of a worker (about 100 bytes a character).
 CHUNK_CHARS = 600_000
 #: Distinct words whose ids a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 @functools.cache
