@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> SparkSession:
 
     The bound is a session setting; one that differs from Spark's default is left as it is.
     """
-    if spark.conf.get(_LIMIT, None) == "67108864b":
+    if spark.conf.get(_LIMIT, "67108864b") == "67108864b":
         spark.conf.set(_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
     if not getattr(context, "_gridloom_shipped", False):
