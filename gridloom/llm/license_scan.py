@@ -58,9 +58,12 @@ def words(text: Column) -> Column:
 
 
 def shingles(text: Column) -> Column:
-    """Hashes of all pairs of neighbouring words, in order."""
-    w = words(text)
-    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all pairs of neighbouring words, in order. The words are the variable of a lambda, so they are made once."""
+    def pairs(w: Column) -> Column:
+        n = F.size(w) - 1
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+
+    return F.element_at(F.transform(F.array(words(text)), pairs), 1)
 
 
 def _under(window: Column, i: int) -> Column:
