@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, toxicity, exact dedup, SimHash near-dedup, best-fit packing.
+"""Corpus pipeline: language ID, toxicity, exact dedup, near-dedup, best-fit packing.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All stages but the last return the columns of ``docs``.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import common, exact_dedup, language_id, packing, simhash, toxicity
+from gridloom.llm import common, exact_dedup, language_id, near_copies, packing, toxicity
 from gridloom.llm.registry import table, vocabulary
 from gridloom.session import ship
 
@@ -31,9 +31,9 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each component of linked fingerprints."""
+    """Keeps the row with the smallest doc_id of each component of texts with a 5-word similarity of 0.8 or more."""
     ship(spark)
-    return simhash.near_dedup(docs)
+    return near_copies.near_dedup(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("language ID", identify_language),
     ("toxicity", remove_toxic),
     ("exact dedup", remove_copies),
-    ("SimHash near-dedup", remove_near_copies),
+    ("near-dedup", remove_near_copies),
     ("best-fit packing", pack),
 ]
 
