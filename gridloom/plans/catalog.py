@@ -307,6 +307,13 @@ def fft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(Cube(ring_stats.fft_frames(cube), cube.nav_shape, cube.sig_shape).pixels(), "v")
 
 
+@query()
+def fft_all_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fft_frames, whose SQL keeps to the first navigation row, for every frame."""
+    cube = cube_e(spark, sf_dir)
+    return _rounded(Cube(ring_stats.fft_frames(cube), cube.nav_shape, cube.sig_shape).pixels(), "v")
+
+
 _RF = """b AS (SELECT frame_id, bin, kk AS k, sum(v * w * cos(kk * phi)) AS re, sum(v * w * sin(kk * phi)) AS im FROM
       (SELECT p.*, sqrt((sy - 4) ** 2 + (sx - 4) ** 2) AS d, atan2(sy - 4, sx - 4) AS phi FROM p) q
       JOIN (SELECT px, bin, CASE WHEN bin = 0 AND d < 0.5 THEN 1.0 ELSE least(1, greatest(0, 1.5 - abs(d - (bin * 2 + 1)))) END AS w
