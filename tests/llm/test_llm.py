@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 from gridloom.llm import byte_bpe, common, exact_dedup, language_id, license_scan, mtree_search, packing, pretokens, registry, simhash, token_files, toxicity, url_filter, vocabularies
 from gridloom.session import ship
 
+from test_near_copies import brute_kept
+
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\t ", "a", "The  cat\tsat", "The cat sat", "the CAT sat on the mat", "é" * 300, "x" * 9000, "word " * 4000, "l'été 's 're x's\n's 12½ 你好😀", "The cat sat", "<|endoftext|> tail", "a\u0301 Σ ΟΔΟΣ İ"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name long, level int, ids binary, fp long, h1 long, uses long, rank int"
@@ -348,15 +350,66 @@ def test_hot_bucket_of_one_key(spark):
     assert len({roots.get(int(v), int(v)) for v in fps}) == len(set(want.tolist()))
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_components_of_a_path(spark, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "ONE_TASK", limit)
-    edges = ship(spark).createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+def test_pairs_within_limits_and_abandoned_words():
+    rng = np.random.default_rng(0)
+    for k, limit in ((1, 3), (1, 12), (8, 70)):
+        base = rng.integers(0, 2**64, (60, k), np.uint64, endpoint=False)
+        fps = np.repeat(base, 6, axis=0)
+        flip = rng.random((len(fps), 64 * k)) < rng.choice([0.01, 0.05, 0.1], (len(fps), 1))
+        fps ^= np.packbits(flip, axis=1, bitorder="little").view(np.uint64)
+        ends = np.full(len(fps), len(fps))
+        ends[:50], ends[50:131] = 50, 131
+        own = np.where(np.arange(len(fps)) % 3 == 0, limit, limit + 2)
+        apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=-1)
+        want = {(p, q) for p, q in zip(*np.nonzero(apart < own[:, None])) if p < q < ends[p]}
+        tally = {}
+        got = [x for p, q in simhash.near_pairs(fps, ends, own, list(range(64 * k)), tally) for x in zip(p.tolist(), q.tolist())]
+        assert len(got) == len(want) and set(got) == want and want
+        assert tally["blocks"] < (0.5 if limit == 3 else 0.9) * tally["items"] * 8 * k  # the rest was abandoned
+
+
+def test_hot_buckets_are_split(spark):
+    rng = np.random.default_rng(5)
+    fps = np.unique(np.concatenate((rng.integers(0, 2**20, 600), rng.integers(0, 2**62, 100)))).astype(np.int64)
+    distinct = common.written(ship(spark).createDataFrame([(int(v),) for v in fps], "fp long"), "d")
+    found = simhash.buckets(distinct, hot=50)
+    masks = {r.mask for r in found.select("mask").distinct().collect()}
+    assert len(masks) > 6  # finer than the six first ones
+    assert all(r["count"] <= 50 or bin(r.mask & (2**64 - 1)).count("1") >= 61 for r in found.groupBy("mask", "value").count().collect())
+    members = {}
+    for r in found.collect():
+        assert r.fp & r.mask == r.value
+        members.setdefault((r.mask, r.value), set()).add(r.fp)
+    x = fps.view(np.uint64)
+    for p, q in zip(*np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= 2, 1))):
+        assert any({int(fps[p]), int(fps[q])} <= m for m in members.values())
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    plain = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)] + [(1000, 1000 + k) for k in range(1, 900)]  # a path, a pair, a loop, a star
+    plain += [tuple(x) for x in rng.integers(5000, 5400, (300, 2)).tolist()]
+    edges = ship(spark).createDataFrame(plain, "a long, b long").repartition(7)
     got = {r.node: r.root for r in simhash.components(edges).collect()}
-    assert {n: r for n, r in got.items() if n != r} == {**{i: 0 for i in range(1, 61)}, 101: 100}
+    nodes = np.unique(np.array(plain))
+    forest = simhash.Forest(len(nodes))
+    forest.join(*(np.searchsorted(nodes, x) for x in np.array(plain).T))
+    want = dict(zip(nodes.tolist(), nodes[forest.roots()].tolist()))
+    assert {n: got.get(n, n) for n in want} == want
     assert simhash.components(edges.filter("false")).count() == 0
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = " ".join(f"w{k % 97}" for k in range(500)) + "\n"
+    for size in (1, 3, 5):
+        whole = np.concatenate(list(simhash.shingle_hashes(text, size)))
+        monkeypatch.setattr(simhash, "PIECE", 10)
+        assert (np.concatenate(list(simhash.shingle_hashes(text, size))) == whole).all() and len(whole) == 501 - size
+        assert len(np.concatenate(list(simhash.shingle_hashes("a  b", size)))) == max(1, 3 - size)
+        assert list(simhash.shingle_hashes(" \n" * 50, size)) == []
+        monkeypatch.undo()
+
+
 def brute_groups(rows):
     groups = {}
     for k, (i, t) in enumerate(rows):
@@ -401,9 +454,7 @@ def test_pipeline(spark):
     first = {}
     for i in sorted(alive):
         first.setdefault(SPACE.sub(" ", texts[i]), i)
-    alive = sorted(first.values())
-    roots = components_of(np.array([brute_fingerprint(texts[i]) for i in alive], np.uint64), 2)
-    kept = {alive[r] for r in roots.tolist()}
+    kept = {i for i, _ in brute_kept([(i, texts[i]) for i in first.values()])}
     assert {r.doc_id for r in out} == kept
     sizes = {}
     for r in out:

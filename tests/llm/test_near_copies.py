@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import near_copies, simhash
@@ -47,6 +48,36 @@ def test_stage_finds_all_pairs_of_similarity_08(spark):
     assert {(r.doc_id, r.text) for r in kept} == brute_kept(rows) and len(kept) == len(brute_kept(rows))
 
 
+def test_wide_fingerprints():
+    """Over half of the members, by plain sums; sets of similarity 0.8 stay within the limits."""
+    rng = np.random.default_rng(0)
+    ratio = []
+    for n in (*range(1, 20), 100, 2048, 5000):
+        found = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        x = found[:, None] * near_copies._SPREAD[0]
+        for k, shift in ((1, 29), (2, 32)):
+            x = (x ^ (x >> np.uint64(shift))) * near_copies._SPREAD[k]
+        x ^= x >> np.uint64(29)
+        count = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0)
+        own = near_copies.wide_fingerprint(found)
+        assert (own == np.packbits(2 * count > len(found), bitorder="little").view(np.uint64)).all()
+        for _ in range(20):
+            more = np.unique(np.concatenate((found, rng.integers(0, 2**64, len(found) // 4, np.uint64, endpoint=False))))
+            ratio.append(np.bitwise_count(own ^ near_copies.wide_fingerprint(more)).sum() / near_copies.limits(np.array([n]))[0])
+    assert max(ratio) < 1
+
+
+def test_hot_buckets_are_split_by_further_bands(spark):
+    rng = np.random.default_rng(4)
+    common = [f"g{k}" for k in range(100)]
+    texts = [" ".join(common + [f"w{x}" for x in rng.integers(0, 10**6, 12)]) for _ in range(120)]  # most below 0.8, all alike in much
+    texts += [changed(rng, t.split(), 1) for t in texts[:40]]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string")
+    groups = near_copies.near_groups(docs, hot=20)
+    assert {r.rep for r in groups.groupBy("root").agg(F.min("rep").alias("rep")).collect()} == {i for i, _ in brute_kept(rows)}
+
+
 def test_repeated_and_null_ids(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
     rows = [(7, a), (7, b + " end"), (3, b), (None, c), (None, c + " end"), (9, "x"), (9, "X"), (1, ""), (None, None), (2, "\n")]
