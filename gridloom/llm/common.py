@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than this share of the rows is a heavy hitter; there are at most 1 / HOT_SHARE of them.
@@ -65,6 +65,28 @@ def is_train(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+def sample_of(rows: DataFrame, label: str, size: int, name: str) -> DataFrame:
+    """At most ``size`` rows of each value of ``label``, chosen by a hash of the text; no two have equal label and text.
+
+    rows: text, ``label`` and any others. The choice depends on the rows alone, so a task that runs again makes the
+    same one. A first pass takes about four times as many as wanted by a threshold of the hash; labels whose rows all
+    fail it (they repeat few texts) get a pass of their own without threshold.
+    """
+    rows = rows.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(name)))
+    sizes = written(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows")), "label-sizes")  # one row per label
+    first = Window.partitionBy(label).orderBy("_hash", F.col("doc_id").asc_nulls_last())
+
+    def best(some: DataFrame) -> DataFrame:
+        return some.dropDuplicates([label, "_hash"]).withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= size).drop("_place")
+
+    chance = F.pmod("_hash", F.lit(1_000_003)) / 1_000_003
+    found = written(best(rows.join(F.broadcast(sizes), label).filter(chance < 4.0 * size / F.col("_rows")).drop("_rows")), name)
+    missing = written(sizes.join(found.select(label).distinct(), label, "left_anti"), "label-missing")
+    if missing.isEmpty():
+        return found.drop("_hash")
+    return written(found.unionByName(best(rows.join(F.broadcast(missing.select(label)), label, "left_semi"))), name).drop("_hash")
+
+
 def chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts with about ``limit`` characters each; a longer text stands alone."""
     i, n = 0, len(texts)

@@ -232,6 +232,73 @@ def test_toxicity(spark, odd, empty):
     assert spared.evidence("a clown fish") == (0.0, 0.0, 0.0) and spared.evidence("a clown")[0] > 0
 
 
+def test_language_sample_of_repeated_rows_and_far_texts(spark):
+    rng = np.random.default_rng(1)
+    stems = {"en": ["the", "and", "ing", "tion", "wh"], "fr": ["eau", "que", "ment", "é", "oi"]}
+    text = lambda g: " ".join("".join(rng.choice(stems[g], 2)) for _ in range(40))
+    rows = [(1, "ñandú llama " * 10, "es")] * 3000 + [(1, None, "xx")] * 50 + [(i, text(g), g) for g in stems for i in range(2, 400)] + [(None, "nobody", "zz")]
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, language_id.Settings(sample=100))
+    assert set(model.languages) == {"en", "es", "fr", "xx"}  # those of one repeated text too
+    picked = common.sample_of(docs.filter("lang is not null"), "lang", 100, "s").groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in picked} == {"en": 100, "fr": 100, "es": 1, "xx": 1, "zz": 1}
+    far = ["zxqv kjwq vvkz qqxj zzkk " * 20, "人人生而自由，在尊严和权利上一律平等。" * 5]
+    assert model.predict(far)["rejected"].all()
+    assert not model.predict([text("en"), text("fr"), "ñandú llama " * 10])["rejected"].any()
+    assert language_id.keep_identified(docs, model).filter("lang in ('en', 'fr')").count() == 2 * 398
+
+
+def test_trigram_counts(monkeypatch):
+    texts = ["", "a", "l'été is here", None or "", "b" * 50, "Ab cd"]
+    want = np.zeros((len(texts), 4096))
+    for k, t in enumerate(texts):
+        data = b" " + " ".join(re.findall(r"[^\W\d_]+", t)).lower().encode() + b" "
+        for i in range(len(data) - 2):
+            code = data[i] << 16 | data[i + 1] << 8 | data[i + 2]
+            want[k, (code * 2654435761 % 2**32) >> 20] += 1
+    for step in (1, 7, 10**6):
+        monkeypatch.setattr(language_id, "STEP", step)
+        got, letters = language_id.counts(texts, 4096)
+        assert (got == want).all() and (letters > 0).tolist() == [bool(t.strip()) for t in texts]
+
+
+def test_toxicity_of_odd_inputs(spark, odd, empty):
+    labels = ship(spark).createDataFrame([(999, 1), (998, 0), (None, 1)], "doc_id long, toxic int")
+    for docs in (empty, odd):  # labels of absent documents only
+        assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == docs.count()
+    repeated = spark.createDataFrame([(2, "you grok fool")] * 500 + [(3, "a fine day")] * 500 + [(3, None)] * 9, "doc_id long, text string")
+    model = toxicity.fit(repeated, spark.createDataFrame([(2, 1), (3, 0), (3, None)], "doc_id long, toxic int"))
+    assert toxicity.score(repeated, model).count() == 1009
+    assert toxicity.fold("") == " " and toxicity.features(" ", (3,), 0.01) == []
+    long = toxicity.Model([" bad "], np.array([3.0]), toxicity.DEFAULT, ("bad day",))
+    assert long.evidence("bad day " * 200_000 + "bad")[0] == pytest.approx(np.log1p(3.0))
+    assert long.evidence("x" * 3_000_000) == (0.0, 0.0, 0.0)
+    found = toxicity.features(toxicity.fold("Grok groks a b " + "word " * 10), (3, 4), 0.1)
+    assert sorted(found) == [" gro", " grok", " wor", " word", " word "]
+
+
+def test_evidence_by_brute_force():
+    rng = np.random.default_rng(0)
+    entries = [" ab", " abc", " c ", " bca", " a "]
+    weights = np.array([1.0, 2.5, 0.7, 1.2, 0.3])
+    model = toxicity.Model(entries, weights, toxicity.DEFAULT, ("c ab", "a b"))
+    for _ in range(200):
+        words = ["".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(rng.integers(1, 30))]
+        line = f" {' '.join(words)} "
+        spared = [(m.start(), m.start() + len(p)) for p in (" c ab ", " a b ") for m in re.finditer(f"(?={p})", line)]
+        best = {}
+        for k, e in enumerate(entries):
+            for m in re.finditer(f"(?={e})", line):
+                a, b = m.start(), m.start() + len(e)
+                if not any(x <= a and b <= y for x, y in spared) and (a not in best or weights[k] > weights[best[a]]):
+                    best[a] = k
+        total = sum(weights[k] for k in best.values())
+        expected = toxicity.PASSING * len(words)
+        surprise = len(best) * np.log(len(best) / expected) - len(best) + expected if best else 0.0
+        want = (np.log1p(total), np.log1p(surprise * total / len(best)), np.log1p(len(set(best.values())))) if best else (0, 0, 0)
+        assert model.evidence(" ".join(words)) == pytest.approx(want)
+
+
 def test_url_filter(spark, tmp_path):
     urls = ["http://A.Example.ORG/es/1", "https://example.org/en/123?x=1", "https://example.org/e", "http://x.com/fr/", "http://x.com/de/9#a", "http://badexample.org/es/", "http://spam-farm.example.net/x", "ftp://a.spam-farm.example.net", "no url", None, "", "://", "http://com/de/", "http://x.org", "http://com:80/de/", "http://a.b/c?d://e.org/", "http://ex.org/a\nb"]
     pages = ship(spark).createDataFrame([(None if k == 3 else k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
