@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,9 +143,10 @@ class BytePairs:
         n = len(word)
         width = 1 << (n - 1).bit_length()
         none, pair = int(NONE), self.pair.get
-        token = self.single[np.frombuffer(word, np.uint8)].tolist()
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        tree = [none] * (2 * width)
+        token = array("q", self.single[np.frombuffer(word, np.uint8)].tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        after[n - 1] = -1
+        tree = array("q", [none]) * (2 * width)
 
         def leaf(i: int) -> int:
             k = after[i]
@@ -179,8 +181,10 @@ class BytePairs:
         return [t for t in token if t >= 0]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of ``ids``."""
-        return gather(self.bytes, self.offset, self.length, ids)
+        """The bytes of ``ids``, a slice of them at a time."""
+        if len(ids) <= CHUNK_CHARS:
+            return gather(self.bytes, self.offset, self.length, ids)
+        return np.concatenate([gather(self.bytes, self.offset, self.length, ids[a : a + CHUNK_CHARS]) for a in range(0, len(ids), CHUNK_CHARS)])
 
 
 @functools.lru_cache(4)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, remove, written
+from .common import attach, fresh, remove, written
 
 #: Characters that count as white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -102,12 +102,13 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
 def keep_rows(docs: DataFrame, kept: DataFrame, norm: Column) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, sha-256 of ``norm``) is in ``kept``, each pair once.
 
-    A semi-join by doc_id; the digest is compared too where doc_ids repeat, and then rows that repeat both are
-    reduced to one.
+    A semi-join by both, so rows with a null doc_id are spread by their texts. Where doc_ids repeat, rows that repeat
+    both are reduced to one.
     """
-    ids = written(kept.select("doc_id", "text_sha256"), "kept").withColumnsRenamed({"doc_id": "_keep_id", "text_sha256": "_keep_sha"})
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.join(ids.drop("_keep_sha"), docs["doc_id"].eqNullSafe(ids["_keep_id"]), "left_semi")
-    tagged = docs.withColumn("_sha", F.sha2(norm, 256))
-    tagged = tagged.join(ids, tagged["doc_id"].eqNullSafe(ids["_keep_id"]) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    return tagged.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    ids = written(kept.select("doc_id", "text_sha256"), "kept")
+    sha = fresh(docs.columns, "sha")
+    tagged = docs.withColumn(sha, F.sha2(norm, 256))
+    out = tagged.join(ids, tagged["doc_id"].eqNullSafe(ids["doc_id"]) & (tagged[sha] == ids["text_sha256"]), "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", sha])
+    return out.drop(sha)

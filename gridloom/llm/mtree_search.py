@@ -91,12 +91,12 @@ class MTree:
             return np.array_split(rows[np.argsort(far, kind="stable")], max(2, fan))
         return groups
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, id, score) of the k largest products of each query, without vectors of the query's own id.
 
         Best-first for all queries in step: in each round every query takes the nodes of least possible distance from
         its own frontier, queries that take the same node are handled together, and a query is done once its frontier
-        has no node within the distance of its k-th result.
+        has no node within the distance of its k-th result. ``tally`` counts the vectors scored, over all queries.
         """
         n = len(queries)
         exact = queries.astype(np.float64)
@@ -130,16 +130,21 @@ class MTree:
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for mine, at, away in zip(np.split(q, cuts), node[np.concatenate(([0], cuts))].tolist(), np.split(far, cuts), strict=True):
                 page = nodes[at]
-                # what the stored parent distance rules out for all of these queries is not looked at
                 gap = np.abs(away[:, None] - page.parent[None, :])
                 if page.children is None:
-                    open_ = gap <= reach[mine][:, None]
-                    columns = np.flatnonzero(open_.any(axis=0))
-                    rows = page.rows[columns]
-                    score = (exact[mine] @ self.exact[rows].T).astype(np.int64) if small else integers[mine] @ self.vectors[rows].T
-                    i, j = np.nonzero((score >= last[mine][:, None]) & (self.ids[rows][None, :] != own[mine][:, None]))
-                    if len(i):
-                        found.append((mine[i], self.ids[rows[j]], score[i, j]))
+                    # what the stored parent distance rules out for a query is not scored for it
+                    i, j = np.nonzero(gap <= reach[mine][:, None])
+                    if tally is not None:
+                        tally["scored"] = tally.get("scored", 0) + len(i)
+                    a, b = mine[i], page.rows[j]
+                    if 8 * len(i) < gap.size:
+                        score = np.einsum("ij,ij->i", exact[a], self.exact[b]).astype(np.int64) if small else (integers[a] * self.vectors[b]).sum(axis=1)
+                    else:  # most pairs are open: one product for all
+                        grid = (exact[mine] @ self.exact[page.rows].T).astype(np.int64) if small else integers[mine] @ self.vectors[page.rows].T
+                        score = grid[i, j]
+                    good = (score >= last[a]) & (self.ids[b] != own[a])
+                    if good.any():
+                        found.append((a[good], self.ids[b[good]], score[good]))
                 else:
                     i, j = np.nonzero(gap - page.radii[None, :] <= reach[mine][:, None])
                     if not len(i):

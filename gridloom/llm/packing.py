@@ -124,23 +124,24 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 20
 
 
 def pack(items: DataFrame, cap: Capacity | None = None) -> DataFrame:
-    """Adds sequence_id and offset to ``items`` (doc_id, piece, length and any payload; a written table).
+    """Adds sequence_id and offset to ``items`` (doc_id, piece, length and any payload).
 
-    Shuffles the items once by (length, salt): the salt is a hash of doc_id and piece, and there are enough salts
-    that a slice of one length stays small however many pieces share it.
+    Shuffles the items once by (length, salt): the salt is a hash of the row's number in the written table, and there
+    are enough salts that a slice of one length stays small however many pieces share it, of one doc_id or of many.
     """
     cap = cap or Capacity()
+    items = written(items.withColumn("_item", F.monotonically_increasing_id()), "pieces")
     spark = items.sparkSession
     salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // 100_000)
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64("_item"), F.lit(salts)).cast("int"))
     counts = written(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most cap.tokens rows
     steps = plan(histogram, cap)
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
+    place = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_item"))
     ranked = salted.withColumn("_row", place).join(before.hint("merge"), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-    return _placed(ranked.drop("_salt", "_before", "_row"), steps)
+    return _placed(ranked.drop("_salt", "_before", "_row", "_item"), steps)
 
 
 def _placed(ranked: DataFrame, steps: np.ndarray) -> DataFrame:
@@ -167,7 +168,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, cap: Capac
     cut = pieces(docs, vocabulary, end_id, cap.tokens)
     if not keep_ids:
         cut = cut.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
-    return pack(written(cut, "pieces"), cap)
+    return pack(cut, cap)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -131,6 +131,19 @@ def gather(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, codes: np.n
     return flat[np.repeat(offset[codes] - (ends - n), n) + np.arange(total)]
 
 
+def text_pieces(text: str, limit: int) -> list[str]:
+    """``text`` in pieces of about ``limit`` characters, cut where any word ends: behind a letter, before a sign or blank."""
+    import regex
+
+    ends, out, a = regex.compile(r"(?<=\p{L})[^\p{L}\p{N}\p{M}]"), [], 0
+    while a < len(text):
+        found = ends.search(text, a + limit) if a + limit < len(text) else None
+        b = found.start() if found else len(text)
+        out.append(text[a:b])
+        a = b
+    return out
+
+
 class WordEncoder:
     """Encodes texts word by word; ``encode_words`` gives the ids of new distinct words as int32 bytes."""
 
@@ -139,7 +152,13 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text)."""
+        """(ids of all texts, number of ids of each text). A long text that stands alone is encoded piece by piece."""
+        if len(texts) == 1 and len(texts[0]) > 2 * CHUNK_CHARS:
+            ids = np.concatenate([self._encode([p])[0] for p in text_pieces(texts[0], CHUNK_CHARS)])
+            return ids, np.array([len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.prepare:
             texts = [self.prepare(t) for t in texts]
         joined = "".join(texts)

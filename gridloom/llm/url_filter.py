@@ -17,10 +17,10 @@ rows are judged each; a null page_id is kept; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -158,13 +158,19 @@ class UrlFilter:
 
 
 _OPEN: dict[str, UrlFilter] = {}
+_SHIPPED: dict[str, set[str]] = {}
 
 
 def ship_filter(spark: SparkSession, rules: dict[tuple[str, str], str], blocked: Iterable[str]) -> str:
     """Writes a filter's files and hands them to all executors; returns the name to open it by."""
-    name = f"urls-{uuid.uuid4().hex}"
-    for path in UrlFilter.write(rules, blocked, os.path.join(tempfile.mkdtemp(prefix="gridloom-"), name)):
-        spark.sparkContext.addFile(path)
+    blocked = sorted(set(blocked))
+    content = repr((sorted(rules.items()), blocked)).encode("utf-8", "surrogatepass")
+    name = f"urls-{hashlib.sha256(content).hexdigest()[:32]}"
+    known = _SHIPPED.setdefault(spark.sparkContext.applicationId, set())
+    if name not in known:  # equal filters are shipped once in an application
+        for path in UrlFilter.write(rules, blocked, os.path.join(tempfile.mkdtemp(prefix="gridloom-"), name)):
+            spark.sparkContext.addFile(path)
+        known.add(name)
     return name
 
 

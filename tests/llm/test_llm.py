@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import byte_bpe, common, exact_dedup, language_id, license_scan, mtree_search, packing, pretokens, registry, simhash, token_files, toxicity, url_filter, vocabularies
+from gridloom.llm import byte_bpe, common, exact_dedup, language_id, license_scan, mtree_search, near_copies, packing, pretokens, registry, simhash, token_files, toxicity, url_filter, vocabularies
 from gridloom.session import ship
 
 from test_near_copies import brute_kept
@@ -62,6 +62,17 @@ def library_ids(name, text, cache={}):  # noqa: B006
     return cache[name].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_are_encoded_in_pieces(name, monkeypatch):
+    monkeypatch.setattr(pretokens, "CHUNK_CHARS", 40)
+    rng = np.random.default_rng(1)
+    letters = list("abZ's're 12٣\n\t éÉ'!-_Σσς你好😀é\u0301\u00a0 \r")
+    for _ in range(100):
+        text = "".join(rng.choice(letters, 600))
+        assert len(pretokens.text_pieces(text, 40)) > 3 and "".join(pretokens.text_pieces(text, 40)) == text
+        assert vocabularies.library_encoder(P.path(name))([text])[0].tolist() == library_ids(name, text)
+
+
 def test_word_hash_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(pretokens, "_mix", lambda: np.ones(0x110000, np.uint64))
     cp = pretokens.code_points("abc abd abc xyz")
@@ -348,6 +359,23 @@ def test_top_k(spark):
         mtree_search.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
 
 
+def test_bounds_of_the_tree_leave_vectors_out():
+    """Clustered vectors of equal length: few are scored; isotropic ones: results stay exact."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 32))
+    for vectors, most in ((x, 0.3), (rng.normal(size=(6000, 32)), 1.0)):
+        fine = np.floor(64 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(int)
+        tree, tally = mtree_search.MTree(np.arange(6000), fine), {}
+        q, found, score = tree.search(fine[:50], np.arange(50), 20, tally)
+        products = fine[:50] @ fine.T
+        products[np.arange(50), np.arange(50)] = -(2**40)
+        for k in range(50):
+            order = np.lexsort((np.arange(6000), -products[k]))[:20]
+            assert found[q == k].tolist() == order.tolist() and score[q == k].tolist() == products[k, order].tolist()
+        assert tally["scored"] <= most * 50 * 6000
+
+
 def brute_fingerprint(text, size=3):
     import xxhash
 
@@ -499,6 +527,29 @@ def test_exact_dedup(spark, odd, empty, block):
     assert exact_dedup.exact_groups(empty, block).count() == 0
 
 
+def test_exact_dedup_keeps_columns_of_inner_names(spark):
+    rows = [(1, "a", 1), (1, "a", 2), (1, "b", 3), (None, "a", 4), (None, "c", 5), (2, "b", 6)]
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string, _sha long").withColumns({n: F.lit(7) for n in ("sha", "_keep_sha", "_keep_id", "text_sha256", "kept", "_hot", "_item", "_row", "_salt")})
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.text, r.doc_id, r._sha in (1, 2)) for r in kept.collect() if r.text != "c") == [("a", 1, True), ("b", 1, False)] and kept.count() == 3
+    assert near_copies.near_dedup(docs).columns == docs.columns and simhash.near_dedup(docs).columns == docs.columns
+    packed = packing.pack_documents(docs, P.path("byte_bpe_50k.json"))
+    assert packed.count() == 6 and packed.select("sequence_id", "offset").distinct().count() == 6
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Cluster)
+
+
 def test_attach_keeps_hot_keys_whole(spark):
     left = common.written(spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("k"), "id"), "l")
     right = common.written(left.groupBy("k").agg(F.count("*").alias("uses"), F.min("id").alias("least")), "r")
