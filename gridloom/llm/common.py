@@ -58,17 +58,22 @@ def remove(df: DataFrame) -> None:
 def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """Left-join ``right`` (unique ``keys``; ``weight`` counts the left rows of a key) without letting a hot key meet in one task.
 
-    Keys that hold more than ``HOT_SHARE`` of the ``total`` left rows are at most ``1 / HOT_SHARE`` rows: a proven
-    bound for broadcasting them. All others take the shuffled join, where no key is large.
-    Both inputs must be cheap to read twice (written tables).
+    Keys that hold more than ``HOT_SHARE`` of the ``total`` left rows are at most ``1 / HOT_SHARE``: a proven bound
+    for naming them in a filter and for broadcasting their rows. All others take the shuffled join, where no key is
+    large. ``right`` must be cheap to read again (a written table), ``left`` too where there is a hot key.
     """
-    hot = right.filter(F.col(weight) > F.lit(max(total * HOT_SHARE, 1000.0)))
-    cold = right.filter(F.col(weight) <= F.lit(max(total * HOT_SHARE, 1000.0)))
-    value = [c for c in right.columns if c not in keys]
-    first = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    done = first.filter(F.col("_hot")).drop("_hot")
-    rest = first.filter(F.col("_hot").isNull()).drop("_hot", *value).join(cold, keys, "left")
-    return done.unionByName(rest)
+    heavy = F.col(weight) > F.lit(max(total * HOT_SHARE, 1000.0))
+    named = right.filter(heavy).select(*keys).collect()
+    if not named:
+        return left.join(right, keys, "left")
+    of = F.lit(False)
+    for row in named:
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.lit(row[k]))
+        of = of | same
+    of = F.coalesce(of, F.lit(False))
+    return left.filter(of).join(F.broadcast(right.filter(heavy)), keys, "left").unionByName(left.filter(~of).join(right.filter(~heavy), keys, "left"))
 
 
 def is_train(doc_id: Column) -> Column:
@@ -76,26 +81,34 @@ def is_train(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def sample_of(rows: DataFrame, label: str, size: int, name: str) -> DataFrame:
-    """At most ``size`` rows of each value of ``label``, chosen by a hash of the text; no two have equal label and text.
+def text_hash(name: str) -> Column:
+    """The hash by which texts are chosen for the sample ``name``."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(name))
 
-    rows: text, ``label`` and any others. The choice depends on the rows alone, so a task that runs again makes the
-    same one. A first pass takes about four times as many as wanted by a threshold of the hash; labels whose rows all
-    fail it (they repeat few texts) get a pass of their own without threshold.
+
+def sample_of(rows: DataFrame, docs: DataFrame, label: str, size: int, name: str) -> DataFrame:
+    """doc_id, ``label``, text of at most ``size`` rows for each value of ``label``, no two of equal label and text.
+
+    rows: doc_id, ``label`` and hash (:func:`text_hash`) of the rows of ``docs`` to choose from; texts are fetched for
+    the chosen ones alone. The choice depends on the rows alone, so a task that runs again makes the same one. A first
+    pass takes about four times as many as wanted by a threshold of the hash; labels whose rows all fail it (they
+    repeat few texts) get a pass of their own without threshold.
     """
-    rows = rows.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(name)))
-    sizes = written(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows")), "label-sizes")  # one row per label
-    first = Window.partitionBy(label).orderBy("_hash", F.col("doc_id").asc_nulls_last())
+    rows = rows.select("doc_id", label, "hash")
+    sizes = written(rows.groupBy(label).agg(F.count(F.lit(1)).alias("rows")), "label-sizes")  # one row per label
+    first = Window.partitionBy(label).orderBy("hash", F.col("doc_id").asc_nulls_last())
 
     def best(some: DataFrame) -> DataFrame:
-        return some.dropDuplicates([label, "_hash"]).withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= size).drop("_place")
-
-    chance = F.pmod("_hash", F.lit(1_000_003)) / 1_000_003
-    found = written(best(rows.join(F.broadcast(sizes), label).filter(chance < 4.0 * size / F.col("_rows")).drop("_rows")), name)
-    missing = written(sizes.join(found.select(label).distinct(), label, "left_anti"), "label-missing")
-    if missing.isEmpty():
-        return found.drop("_hash")
-    return written(found.unionByName(best(rows.join(F.broadcast(missing.select(label)), label, "left_semi"))), name).drop("_hash")
+        each = some.groupBy(label, "hash").agg(F.min("doc_id").alias("doc_id"))
+        return each.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= size).select("doc_id", label, "hash")
+
+    chance = F.pmod("hash", F.lit(1_000_003)) / 1_000_003
+    found = written(best(rows.join(F.broadcast(sizes), label).filter(chance < 4.0 * size / F.col("rows"))), name)
+    missing = written(sizes.join(found.select(label).distinct(), label, "left_anti").select(label), "label-missing")
+    if not missing.isEmpty():
+        found = written(found.unionByName(best(rows.join(F.broadcast(missing), label, "left_semi"))), name)
+    texts = docs.select("doc_id", "text", text_hash(name).alias("hash")).join(found, ["doc_id", "hash"])
+    return written(texts.dropDuplicates([label, "hash"]).select("doc_id", label, "text"), name + "-texts")
 
 
 def chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, is_train, sample_of, written
+from .common import chunks, is_train, sample_of, text_hash, written
 
 UNKNOWN = "und"
 #: Trigrams counted at a time.
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     s = settings or Settings()
     dims = s.dims
     labelled = docs.filter(is_train(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sample = sample_of(labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"), "lang", s.sample, "language-sample")
+    name = "language-sample"
+    sample = sample_of(labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), text_hash(name).alias("hash")), docs, "lang", s.sample, name)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ Two texts are linked when the sets of their shingles of ``size`` words have a si
 by blocks of equal bits, so texts first meet by the key of one of ``BANDS`` bands of ``ROWS`` minima: a pair at 0.8
 shares none with a probability of (1 - 0.8^5)^32 = 3e-6, at 0.9 of 1e-12. Those that meet are compared by SimHashes of
 ``WORDS`` * 64 bits over their sets, bit-sliced as in :mod:`.simhash`; the radius is 4.5 standard deviations beyond the
-share of bits that differ at 0.8 (missed: 4e-6). What is within the radius is verified by the two sets themselves, so
+share of bits that differ at 0.8 (missed: 4e-6 for each of the four ``CHECKS``). What is within the radius is verified by the two sets themselves, so
 a link is never wrong.
 
 Each bucket first verifies its members against the least one only; those found in one component are not compared
@@ -36,7 +36,9 @@ BANDS, ROWS = 32, 5
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64, endpoint=False)
 _TIMES, _PLUS, _MIX = _RANDOM[0] | np.uint64(1), _RANDOM[1], _RANDOM[2] | np.uint64(1)
 #: Words of a SimHash, and the random numbers that make so many hashes of one.
-WORDS = 32
+WORDS = 64
+#: Bits after which texts that differ too much are left, besides the last.
+CHECKS = (512, 1024, 2048)
 _SPREAD = np.random.default_rng(43).integers(0, 1 << 64, (3, WORDS), np.uint64, endpoint=False) | np.uint64(1)
 #: Shingles whose images are made at a time.
 STEP = 2048
@@ -105,13 +107,12 @@ def wide_fingerprint(found: np.ndarray) -> np.ndarray:
     return more | same
 
 
-def limits(n: np.ndarray) -> np.ndarray:
-    """Bits that differ with a probability below 4e-6 at a similarity of 0.8, for sets of ``n`` members.
+def limits(n: np.ndarray, bits: int = 64 * WORDS) -> np.ndarray:
+    """A number of differing bits reached with a probability below 4e-6 at a similarity of 0.8, for sets of ``n`` members.
 
     A bit differs with a probability of at most 0.153; sets of under 16 have ties more often and reach 0.19.
     """
     share = np.where(n < 16, 0.19, 0.153)
-    bits = 64 * WORDS
     return np.ceil(bits * share + 4.5 * np.sqrt(bits * share * (1 - share))).astype(np.int64)
 
 
@@ -149,8 +150,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t.as_py(), size) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary())], ["node", "found", "fp"])
 
-    texts = _tagged(docs).join(wanted, "text_sha256").select("node", "text")
-    return written(texts.mapInArrow(run, "node long, found binary, fp binary").dropDuplicates(["node"]), "sets")
+    tagged = _tagged(docs).withColumnRenamed("doc_id", "rep")
+    one = tagged.join(wanted, (tagged["text_sha256"] == wanted["text_sha256"]) & tagged["rep"].eqNullSafe(wanted["rep"])).select("node", "text")
+    made = one.mapInArrow(run, "node long, found binary, fp binary")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        made = made.dropDuplicates(["node"])  # rows that repeat both doc_id and text
+    return written(made, "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
@@ -199,7 +204,7 @@ def _apart(named: DataFrame, nodes: DataFrame, sets: DataFrame, at_least: int, h
             prints = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(node), WORDS)
             bands = np.asarray(keys.flatten()).reshape(len(node), BANDS)
             ends = np.repeat(starts[1:], np.diff(starts))
-            for p, q in near_pairs(prints, ends, limits(n), list(range(64 * WORDS))):
+            for p, q in near_pairs(prints, ends, limits(n), list(range(64 * WORDS)), sooner={b: limits(n, b) for b in CHECKS}):
                 fit = (part[p] != part[q]) & (100 * np.minimum(n[p], n[q]) >= at_least * np.maximum(n[p], n[q]))
                 p, q = p[fit], q[fit]
                 mine = names(bands, bucket, p, q, depth)
@@ -216,7 +221,7 @@ def near_groups(docs: DataFrame, size: int = 5, at_least: int = 80, hot: int | N
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     least = written(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("uses")).filter("uses > 1"), "buckets")
     shared = written(attach(members, least, ["key"], "uses", max(1, BANDS * nodes.count())).filter("uses is not null").select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), "uses"), "shared")
-    sets = _sets(docs, written(shared.select("node").distinct().join(nodes.select("node", "text_sha256"), "node"), "wanted"), size)
+    sets = _sets(docs, written(shared.select("node").distinct().join(nodes.select("node", "text_sha256", "rep"), "node"), "wanted"), size)
     stars = shared.filter(F.col("node") != F.col("pivot")).filter(_sizes("n", "pivot_n", at_least))
     links = _verified(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets, at_least)
     roots = written(components(links), "roots")

@@ -133,12 +133,14 @@ def sliced(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
-def near_pairs(fps: np.ndarray, ends: np.ndarray, limits: np.ndarray, order: list[int], tally: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(fps: np.ndarray, ends: np.ndarray, limits: np.ndarray, order: list[int], tally: dict[str, int] | None = None, sooner: dict[int, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs p < q < ends[p] whose fingerprints (n, k) differ in fewer than ``limits[p]`` of the bits ``order``.
 
     Items are pairs of a pivot p and a word with lanes q. Each is compared eight planes at a time; lanes beyond the
     limit are struck out, and items without a lane left are abandoned. ``tally`` counts items and compared blocks.
+    ``sooner``: further limits, for the first so many bits (multiples of eight).
     """
+    stages = sorted((sooner or {}).items()) + [(len(order), limits)]
     n = len(fps)
     planes = sliced(fps)
     pivots = np.flatnonzero(ends > np.arange(n) + 1)
@@ -151,12 +153,16 @@ def near_pairs(fps: np.ndarray, ends: np.ndarray, limits: np.ndarray, order: lis
         pivot = pivots[of]
         word = first[of] + flat - np.where(of > 0, upto[of - 1], 0)
         live = _BELOW[np.minimum(ends[pivot] - 64 * word, 64)] & ~_BELOW[np.clip(pivot + 1 - 64 * word, 0, 64)]
-        limit = limits[pivot].astype(np.uint64)
+        stage = 0
+        limit = stages[0][1][pivot].astype(np.uint64)
         ones, twos, fours = (np.zeros(len(flat), np.uint64) for _ in range(3))
         upper = [np.zeros(len(flat), np.uint64) for _ in range(high)]
         if tally is not None:
             tally["items"] = tally.get("items", 0) + len(flat)
         for s in range(0, len(order), 8):
+            if s >= stages[stage][0]:
+                stage += 1
+                limit = stages[stage][1][pivot].astype(np.uint64)
             if tally is not None:
                 tally["blocks"] = tally.get("blocks", 0) + len(pivot)
             d = np.zeros((8, len(pivot)), np.uint64)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_train, sample_of, written
+from .common import is_train, sample_of, text_hash, written
 
 #: Signs and digits that stand for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -238,8 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     s = settings or Settings()
     usable = labels.filter(is_train(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     usable = usable.groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(usable, "doc_id")
-    sample = sample_of(rows, "toxic", s.sample, "toxic-sample")
+    name = "toxic-sample"
+    rows = written(docs.select("doc_id", text_hash(name).alias("hash")).join(usable, "doc_id"), "labelled")
+    sample = sample_of(rows, docs, "toxic", s.sample, name)
     sizes = {int(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return seed_model(s)
