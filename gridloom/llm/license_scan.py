@@ -1,30 +1,32 @@
 """License scans with MinHash bands over overlapping word windows, in DataFrame operations only.
 
 A text becomes its words (lower case, letters and digits) and the hashes of its word pairs (shingles). Templates are
-sorted into size classes; for each class windows of a fixed number of shingles overlap so that some window holds any
-template of the class whole, and the template is at least about half of that window (see ``CLASSES``). Each window has
-``bands`` MinHash values of one row each, and a window retrieves a template where a value is equal. With a Jaccard
-similarity of J a template is missed with probability (1 - J)^bands: below 0.0003 for a whole copy (J >= 0.5,
-12 bands). What is retrieved is verified exactly: the share of the template's shingles in the window.
+single notices or whole license texts of any length from two shingles on. They fall into size classes (see
+:func:`size_class`); for each class in use windows of a fixed number of shingles overlap so that some window holds any
+template of the class whole, and the template is at least half of that window. Each window has ``bands`` MinHash
+values of one row each, and a window retrieves a template where a value is equal. With a Jaccard similarity of J a
+template is missed with probability (1 - J)^bands: for a whole copy J >= 0.5, 1e-6 at 20 bands; for the least verified
+share of 0.8 in the widest window J >= 0.36, 1.3e-4. What is retrieved is verified exactly, by the word pairs
+themselves: the share of the template's distinct pairs that are in the window.
 
 A band value can only equal a template's where the window holds that template's minimal shingle, so windows are made
 only around such shingles. This leaves out windows whose bands cannot collide, nothing else, and texts without one
-end in the scan. Templates are a fixed list of a few dozen; their table is broadcast. No shuffle carries text; the
-matches alone are grouped, by (doc_id, license).
+end in the scan. Templates are a fixed list; its table (a row per template and band) is broadcast. No shuffle carries
+text; the matches alone are grouped, by (doc_id, license).
 
 Defined results: a null or empty text matches nothing; matches of rows with one doc_id (repeated rows, or a null
-doc_id) are reported together; no match gives no row; an empty table gives no rows; other columns are not looked at.
+doc_id) are reported together; a window that holds two templates reports both; a template of one word or none raises
+an error; no match gives no row; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices as their licenses (or custom) word them.
+#: Notices as their licenses (or custom) word them, and whole license texts without their copyright lines.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -45,11 +47,47 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-name": "licensed under a Creative Commons Attribution 4.0 International License",
     "all-rights-reserved": "All rights reserved.",
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
 }
-#: (least and most shingles of a template, shingles of a window, step): most <= window - step + 1, least >= window / 2.
-CLASSES = ((2, 2, 3, 1), (3, 4, 6, 2), (5, 7, 10, 3), (8, 11, 16, 5), (12, 17, 24, 7), (18, 27, 36, 9), (28, 40, 54, 14))
-BANDS = 12
-CONTAINMENT = 0.9
+BANDS = 20
+CONTAINMENT = 0.8
+
+
+def size_class(n: int) -> tuple[int, int]:
+    """(shingles of a window, step) for a template of ``n`` shingles.
+
+    Classes are least .. most with most about 1.4 times least, from 2 on. Windows have at most twice the least, and
+    most + step - 1 shingles, so one of them holds the template wherever it is.
+    """
+    least = 2
+    while True:
+        most = max(least, int(1.4 * least))
+        if n <= most:
+            step = (2 * least - most + 2) // 2
+            return most + step - 1, step
+        least = most + 1
 
 
 def words(text: Column) -> Column:
@@ -57,13 +95,20 @@ def words(text: Column) -> Column:
     return F.split(plain, " ")
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of all pairs of neighbouring words, in order. The words are the variable of a lambda, so they are made once."""
-    def pairs(w: Column) -> Column:
-        n = F.size(w) - 1
-        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+def _pairs(w: Column, of) -> Column:  # noqa: ANN001
+    """``of`` two neighbouring words, for all of them, in order."""
+    n = F.size(w) - 1
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), of)
+
 
-    return F.element_at(F.transform(F.array(words(text)), pairs), 1)
+def cut(text: Column) -> Column:
+    """w (words) and h (hashes of all pairs of neighbouring words). The words are the variable of a lambda, so they are made once."""
+    return F.element_at(F.transform(F.array(words(text)), lambda w: F.struct(w.alias("w"), _pairs(w, lambda a, b: F.xxhash64(a, b)).alias("h"))), 1)
+
+
+def plain_pairs(w: Column) -> Column:
+    """The distinct pairs themselves."""
+    return F.array_distinct(_pairs(w, lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def _under(window: Column, i: int) -> Column:
@@ -81,37 +126,36 @@ def _minimal(own: Column, i: int) -> Column:
     return F.slice(F.transform(by_hash, lambda s: s["x"]), 1, 1)
 
 
-def _windows(at: Column, k: int) -> Column:
-    """Windows of class k around the places ``at``: they begin at multiples of the step, in (p - size, p]."""
-    _, _, size, step = CLASSES[k]
+def _windows(at: Column, size: int, step: int) -> Column:
+    """Windows around the places ``at``: they begin at multiples of the step, in (p - size, p]."""
     first = F.transform(at, lambda p: F.greatest(F.ceil((p - size + 1) / step), F.lit(0)).cast("int"))
     last = F.transform(at, lambda p: F.floor(p / step).cast("int"))
     near = F.array_distinct(F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b))))
-    return F.transform(near, lambda s: F.struct(F.lit(k).alias("class"), (s * step).alias("start"), F.lit(size).alias("size")))
+    return F.transform(near, lambda s: F.struct((s * step).alias("start"), F.lit(size).alias("size")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, start, size (the window, in shingles), containment of every verified window."""
     templates = templates or TEMPLATES
     spark = docs.sparkSession
-    table = spark.createDataFrame([(k, v) for k, v in templates.items()], "license string, notice string").select("license", F.array_distinct(shingles(F.col("notice"))).alias("own"))
-    chosen = F.lit(None).cast("int")
-    for k, (least, most, _, _) in reversed(list(enumerate(CLASSES))):
-        chosen = F.when(F.size("own").between(least, most), F.lit(k)).otherwise(chosen)
-    rows = table.withColumn("class", chosen).withColumn("bands", _bands(F.col("own"), bands)).collect()  # the template list, fixed
-    if bad := [r["license"] for r in rows if r["class"] is None]:
-        raise ValueError(f"templates of no size class: {bad}")
-    # the shingles of each template that are minimal under some hash
-    minimal = table.select(F.explode(F.flatten(F.array(*[_minimal(F.col("own"), i) for i in range(bands)]))).alias("x"))
-    anchors = F.array(*[F.lit(r[0]) for r in sorted(minimal.distinct().collect())])
-    hashed = docs.select("doc_id", shingles(F.col("text")).alias("h")).filter(F.arrays_overlap("h", anchors))
-    hit = hashed.withColumn("at", F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(anchors, x), i)), lambda i: i.isNotNull()))
-    starts = [_windows(F.col("at"), k) for k in sorted({r["class"] for r in rows})]
-    windows = hit.select("doc_id", "h", F.explode(F.concat(*starts)).alias("w")).select("doc_id", "w.*", F.slice("h", F.col("w.start") + 1, F.col("w.size")).alias("window"))
+    table = spark.createDataFrame([(k, v) for k, v in templates.items()], "license string, notice string").withColumn("cut", cut(F.col("notice")))
+    table = table.select("license", F.array_distinct("cut.h").alias("own"), plain_pairs(F.col("cut.w")).alias("pairs")).filter(F.size("own") > 1)
+    table = table.withColumn("bands", _bands(F.col("own"), bands)).withColumn("minimal", F.flatten(F.array(*[_minimal(F.col("own"), i) for i in range(bands)])))
+    rows = table.collect()  # the template list, fixed
+    if bad := sorted(set(templates) - {r["license"] for r in rows}):
+        raise ValueError(f"templates of under two word pairs: {bad}")
+    # the shingles of templates that are minimal under some hash
+    anchors = sorted({x for r in rows for x in r["minimal"]})
+    hashed = docs.select("doc_id", cut(F.col("text")).alias("cut")).select("doc_id", "cut.w", "cut.h").filter(F.exists("h", lambda x: x.isin(anchors)))
+    hit = hashed.withColumn("at", F.filter(F.transform("h", lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull()))
+    starts = F.concat(*[_windows(F.col("at"), size, step) for size, step in sorted({size_class(len(r["own"])) for r in rows})])
+    # each window takes its own part of the text along, and nothing else
+    parts = F.transform(starts, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.slice("h", s["start"] + 1, s["size"]).alias("window"), F.slice("w", s["start"] + 1, s["size"] + 1).alias("words")))
+    windows = hit.select("doc_id", F.explode(parts).alias("part")).select("doc_id", "part.*")
     keyed = windows.select("*", F.posexplode(_bands(F.col("window"), bands)).alias("band", "key"))
-    listed = spark.createDataFrame([(r["license"], r["class"], i, key, r["own"]) for r in rows for i, key in enumerate(r["bands"])], "license string, class int, band int, key long, own array<bigint>")
-    found = keyed.join(F.broadcast(listed), ["class", "band", "key"])
-    share = F.size(F.array_intersect("window", "own")) / F.size("own")
+    listed = spark.createDataFrame([(r["license"], size_class(len(r["own"]))[0], i, key, r["pairs"]) for r in rows for i, key in enumerate(r["bands"])], "license string, size int, band int, key long, pairs array<string>")
+    found = keyed.join(F.broadcast(listed), ["size", "band", "key"])
+    share = F.size(F.array_intersect(plain_pairs(F.col("words")), F.col("pairs"))) / F.size("pairs")
     return found.select("doc_id", "license", "start", "size", share.alias("containment")).filter(F.col("containment") >= containment).distinct()
 
 
@@ -121,8 +165,11 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
     return best
 
 
-def brute_force(texts: dict[int, str | None], templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> dict[tuple[int, str], float]:
-    """(doc_id, license) -> best containment over all windows, from word pairs themselves; for tests."""
+def brute_force(texts: dict[int, str | None], templates: dict[str, str] | None = None, containment: float = CONTAINMENT, step: int | None = None) -> dict[tuple[int, str], float]:
+    """(doc_id, license) -> best containment over all windows, from word pairs themselves; for tests.
+
+    step: of the windows; None for that of the scan, 1 for windows at every position.
+    """
     out: dict[tuple[int, str], float] = {}
 
     def pairs(text: str) -> list[tuple[str, str]]:
@@ -131,14 +178,12 @@ def brute_force(texts: dict[int, str | None], templates: dict[str, str] | None =
 
     for name, notice in (templates or TEMPLATES).items():
         own = set(pairs(notice))
-        size, step = next((c[2], c[3]) for c in CLASSES if c[0] <= len(own) <= c[1])
+        size, usual = size_class(len(own))
         for doc_id, text in texts.items():
             all_pairs = pairs(text or "")
             if own.isdisjoint(all_pairs):
                 continue
-            best = max((len(own & set(all_pairs[s : s + size])) / len(own) for s in range(0, max(1, len(all_pairs)), step)), default=0.0)
+            best = max((len(own & set(all_pairs[s : s + size])) / len(own) for s in range(0, max(1, len(all_pairs)), step or usual)), default=0.0)
             if best >= containment:
                 out[doc_id, name] = best
     return out
-
-

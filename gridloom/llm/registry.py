@@ -39,8 +39,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (host, path) -> verdict
 URL_RULES = {("org", "/"): "allow", ("example.org", "/es/"): "block", ("example.org", "/en/1"): "block", ("com", "/fr/"): "allow", ("com", "/de/"): "block"}
-#: Hosts that are blocked, with their subdomains, where no rule fits.
-URL_BLOCKED = [f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+#: Hosts that are blocked, with their subdomains, where no rule fits: every first part with every second part and top (2000).
+URL_FIRST = "adult casino cheap crack crypto escort fake free loan lotto malware phish pills poker replica scam slots spam torrent warez".split()
+URL_SECOND = "bets cash club deals farm gold hub now online pills portal promo shop site store vip win world x zone".split()
+URL_TOPS = "biz com info net org".split()
+URL_BLOCKED = [f"{first}-{second}.example.{top}" for first in URL_FIRST for second in URL_SECOND for top in URL_TOPS]
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op7_url_filter": r"""
+    "op7_url_filter": rf"""
         WITH split AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (
@@ -109,7 +112,7 @@ ORACLES: dict[str, str] = {
             SELECT row_no, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(decision, length(rule_host || rule_path)) AS decision
             FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row_no)
         SELECT page_id, host, path, rule,
-               coalesce(decision, CASE WHEN regexp_matches(host, '(^|\.)(adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(decision, CASE WHEN regexp_matches(host, '(^|\.)({'|'.join(URL_FIRST)})-({'|'.join(URL_SECOND)})\.example\.({'|'.join(URL_TOPS)})$') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN fits USING (row_no)""",
     "op8_mtree_top_k": r"""
         WITH fine AS (

@@ -191,6 +191,34 @@ def test_licenses(spark, empty):
     assert license_scan.licenses(empty).count() == 0
 
 
+def test_licenses_at_every_position(spark):
+    """Whole copies are found wherever they begin, whole license texts too; nothing is found that isn't there."""
+    rng = np.random.default_rng(0)
+    filler = [f"w{k}" for k in range(50)]
+    names = list(license_scan.TEMPLATES)
+    rows, whole = [], []
+    for k in range(150):
+        name = names[k % len(names)]
+        before, after = (" ".join(rng.choice(filler, rng.integers(0, 60))) for _ in range(2))
+        words = license_scan.TEMPLATES[name].split()
+        if k >= 100:  # a changed word
+            words[int(rng.integers(0, len(words)))] = "changed"
+        else:
+            whole.append((k, name))
+        rows.append((k, f"{before} {' '.join(words).upper()} {after}"))
+    rows += [(200, f"{license_scan.TEMPLATES['MIT-text']} {license_scan.TEMPLATES['ISC-text']} " * 30), (201, license_scan.TEMPLATES["MIT-text"][:300])]
+    rows += [rows[0], rows[0]]  # repeated rows
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[key] == 1.0 for key in whole)
+    assert got == license_scan.brute_force(dict(rows))
+    assert set(got) <= set(license_scan.brute_force(dict(rows), step=1))
+    with pytest.raises(ValueError, match="short"):
+        license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"short": "one"})
+    for n in range(2, 2000):
+        size, step = license_scan.size_class(n)
+        assert n <= size - step + 1 and 2 * n >= size and step >= 1
+
+
 def test_language(spark, odd, empty):
     rng = np.random.default_rng(0)
     stems = {"en": ["the", "and", "ing", "tion", "wh"], "fr": ["eau", "que", "ment", "é", "oi"], "de": ["sch", "ung", "ö", "keit", "ein"]}
@@ -311,7 +339,7 @@ def test_evidence_by_brute_force():
 
 
 def test_url_filter(spark, tmp_path):
-    urls = ["http://A.Example.ORG/es/1", "https://example.org/en/123?x=1", "https://example.org/e", "http://x.com/fr/", "http://x.com/de/9#a", "http://badexample.org/es/", "http://spam-farm.example.net/x", "ftp://a.spam-farm.example.net", "no url", None, "", "://", "http://com/de/", "http://x.org", "http://com:80/de/", "http://a.b/c?d://e.org/", "http://ex.org/a\nb"]
+    urls = ["http://A.Example.ORG/es/1", "https://example.org/en/123?x=1", "https://example.org/e", "http://x.com/fr/", "http://x.com/de/9#a", "http://badexample.org/es/", "http://spam-farm.example.net/x", "ftp://a.spam-farm.example.net", "no url", None, "", "://", "http://com/de/", "http://x.org", "http://com:80/de/", "http://a.b/c?d://e.org/", "http://ex.org/a\nb", "http://a.casino-shop.example.biz/", "http://casino-other.example.biz/", "http://x.org/" + "p" * 200_000, "http://" + "h." * 500 + "com/fr/", "http://x.org", "http://x.org"]
     pages = ship(spark).createDataFrame([(None if k == 3 else k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     got = url_filter.judge_urls(pages, registry.URL_RULES, registry.URL_BLOCKED).collect()
     assert len(got) == len(urls)
