@@ -206,28 +206,34 @@ class RadialFourier(Analysis):
         orders = np.exp(1j * phi[None] * np.arange(p["max_order"] + 1)[:, None, None])
         return (rings[:, None] * orders[None]).reshape(-1, *shape)
 
-    def coefficients(self, cube: Cube) -> DataFrame:
-        """frame_id, bin, k, re, im."""
+    def wide(self, cube: Cube) -> DataFrame:
+        """frame_id, bins: for each bin an array over k of (re, im, absolute); one row a frame."""
         p, orders = self.parameters, self.parameters["max_order"] + 1
         names = [f"c_{b}_{k}" for b in range(p["n_bins"]) for k in range(orders)]
-        wide = masked.apply_masks(cube, self.stack(cube.sig_shape), names=names)
-        entries = F.array(*[F.struct(F.lit(b).alias("bin"), F.lit(k).alias("k"), F.col(f"c_{b}_{k}").alias("re"), F.col(f"c_{b}_{k}_im").alias("im")) for b in range(p["n_bins"]) for k in range(orders)])
-        return wide.select("frame_id", F.explode(entries).alias("e")).select("frame_id", "e.*")
+        products = masked.apply_masks(cube, self.stack(cube.sig_shape), names=names)
+
+        def of(b: int) -> Column:  # the products are lambda variables, so each is made once
+            re, im = (F.array(*[F.col(f"c_{b}_{k}{part}") for k in range(orders)]) for part in ("", "_im"))
+            return F.zip_with(re, im, lambda x, y: F.struct(x.alias("re"), y.alias("im"), F.hypot(x, y).alias("absolute")))
+
+        return products.select("frame_id", F.array(*[of(b) for b in range(p["n_bins"])]).alias("bins"))
 
     def channels(self, cube: Cube) -> dict[str, object]:
-        rows = self.coefficients(cube).withColumn("absolute", F.hypot("re", "im"))
-        higher = rows.filter("k >= 1")
+        by_bin = self.wide(cube).select("frame_id", F.posexplode("bins").alias("bin", "c"))
+        # the largest higher order of a bin, of equals the lowest; found within the row
+        ranked = F.transform(F.slice("c", F.lit(2), F.lit(max(1, self.parameters["max_order"]))), lambda c, i: F.struct(c["absolute"].alias("absolute"), (-(i + 1)).alias("k")))
+        peaks = by_bin.select("frame_id", "bin", F.array_max(ranked).alias("best"))
         # the threshold of a bin is a share of the largest coefficient over all frames
-        top = higher.groupBy("bin").agg(F.max("absolute").alias("top"))
-        best = higher.groupBy("frame_id", "bin").agg(F.max("absolute").alias("peak"), F.max_by("k", F.struct("absolute", -F.col("k"))).alias("k"))
-        dominant = best.join(F.broadcast(top), "bin").select("frame_id", "bin", F.when(F.col("peak") < 0.2 * F.col("top"), 0).otherwise(F.col("k")).alias("dominant"))
-        zero = rows.filter("k = 0").select("frame_id", "bin", F.greatest(F.lit(1.0), F.col("absolute")).alias("norm"))
-        scaled = rows.join(zero, ["frame_id", "bin"]).withColumn("by", F.when(F.col("k") >= 1, F.col("norm")).otherwise(1.0))
+        top = peaks.groupBy("bin").agg(F.max("best.absolute").alias("top"))
+        dominant = peaks.join(F.broadcast(top), "bin").filter("best is not null").select("frame_id", "bin", F.when(F.col("best.absolute") < 0.2 * F.col("top"), 0).otherwise(-F.col("best.k")).alias("dominant"))
+        norm = F.greatest(F.lit(1.0), F.element_at("c", 1)["absolute"])
+        rows = by_bin.select("frame_id", "bin", norm.alias("norm"), F.posexplode("c").alias("k", "c"))
+        by = F.when(F.col("k") >= 1, F.col("norm")).otherwise(1.0)
         return {
             "dominant": dominant,
-            "absolute": rows.select("frame_id", "bin", "k", "absolute"),
-            "phase": rows.select("frame_id", "bin", "k", F.atan2("im", "re").alias("phase")),
-            "complex": scaled.select("frame_id", "bin", "k", (F.col("re") / F.col("by")).alias("re"), (F.col("im") / F.col("by")).alias("im")),
+            "absolute": rows.select("frame_id", "bin", "k", "c.absolute"),
+            "phase": rows.select("frame_id", "bin", "k", F.atan2("c.im", "c.re").alias("phase")),
+            "complex": rows.select("frame_id", "bin", "k", (F.col("c.re") / by).alias("re"), (F.col("c.im") / by).alias("im")),
         }
 
 

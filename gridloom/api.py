@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom import analysis as A
 from gridloom import sinks, sources, udf
@@ -72,26 +71,13 @@ class Context:
     def run_udf(self, cube: Cube, operators: udf.FrameUDF | list[udf.FrameUDF], roi=None, corrections: CorrectionSet | None = None, aux: DataFrame | None = None):  # noqa: ANN001, ANN201
         return udf.run_udf(cube.select(roi), operators, aux, corrections)
 
-    def run_udf_iter(self, cube: Cube, operator: udf.FrameUDF, parts: int = 4, roi=None) -> Iterator[tuple[np.ndarray, udf.UDFResult]]:  # noqa: ANN001
+    def run_udf_iter(self, cube: Cube, operators: udf.FrameUDF | list[udf.FrameUDF], parts: int = 4, roi=None, corrections: CorrectionSet | None = None, aux: DataFrame | None = None) -> Iterator[tuple[np.ndarray, udf.UDFResult | list[udf.UDFResult]]]:  # noqa: ANN001
         """Partial results after each of ``parts`` ranges of frames: which positions are done, and the result so far."""
-        cube = cube.select(roi)
-        cuts = np.linspace(0, cube.n_frames, parts + 1).astype(int)
-        total: dict[str, np.ndarray] | None = None
-        damage = np.zeros(cube.n_frames, bool)
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            own = Cube(cube.df.filter(F.col("frame_id").between(int(a), int(b) - 1)), cube.nav_shape, cube.sig_shape, cube.complex, cube.corrections)
-            raw = udf._merged(correct(own, own.corrections), own.df, [operator], [])[0] if operator.requires_merge() else {}
-            final = operator.copy()
-            final.meta = udf.Meta(cube.nav_shape, cube.sig_shape)
-            if total is None:
-                total = raw
-            elif raw:
-                final.merge(total, raw)
-            damage[a:b] = True
-            shown = final.get_results({k: v.copy() for k, v in total.items()})
-            done = Cube(cube.df.filter(F.col("frame_id") < int(b)), cube.nav_shape, cube.sig_shape, cube.complex, cube.corrections)
-            nav = udf._nav_rows(done, done.df, operator, []) if any(x.kind == "nav" for x in operator.get_result_buffers().values()) else None
-            yield damage.reshape(cube.nav_shape).copy(), udf.UDFResult(nav, shown, {k: np.ones(np.shape(v), bool) for k, v in shown.items()})
+        return udf.iterate(cube.select(roi), operators, parts, aux, corrections, cube.mask_of(roi))
+
+    def inspect_udf(self, cube: Cube, operator: udf.FrameUDF) -> dict[str, tuple]:
+        """Kind, shape and type of an operator's results, without running it."""
+        return udf.declared(cube, operator)
 
     def map(self, cube: Cube, f: Callable, roi=None) -> DataFrame:  # noqa: ANN001
         return udf.map_frames(cube.select(roi), f)
@@ -104,5 +90,12 @@ class Context:
     def export_dataset(self, cube: Cube, path: str, overwrite: bool = False, dtype: object = np.float32) -> None:
         sinks.write_npy(cube, path, dtype, overwrite)
 
+    def write(self, cube: Cube, path: str, kind: str, dtype: object = np.float32, overwrite: bool = False) -> None:
+        """All frames as one file of another format: raw, mib, mrc, blo, seq, tvips or raw_csr."""
+        if kind == "raw_csr":
+            sinks.write_csr(cube, path, dtype, overwrite)
+        else:
+            sinks.write_frames(cube, path, kind, dtype, overwrite)
+
     def close(self) -> None:
         """Leaves the session to its owner."""

@@ -7,6 +7,7 @@ lazy and a selection by ``frame_id`` reaches the scan.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -43,6 +44,12 @@ def ravel(coords: Sequence[Column], shape: Sequence[int]) -> Column:
     return flat
 
 
+def constant(values: np.ndarray) -> Column:
+    """An array of finite numbers as one literal: a string that the optimizer folds, whatever the length."""
+    kind = "bigint" if np.asarray(values).dtype.kind in "iu" else "double"
+    return F.from_json(F.lit(json.dumps(np.asarray(values).tolist())), f"array<{kind}>")
+
+
 def fill_of(kind: str) -> Column | None:
     """What a navigation position without a result holds, by type; None keeps NULL."""
     if kind in ("float", "double"):
@@ -135,6 +142,16 @@ class Cube:
         flat = np.flatnonzero(mask.astype(bool).ravel())
         return replace(self, df=self._take(flat), selected=True)
 
+    def mask_of(self, roi) -> np.ndarray:  # noqa: ANN001
+        """A selection as a bool array over the navigation shape."""
+        if roi is None:
+            return np.ones(self.nav_shape, bool)
+        if isinstance(roi, Column):
+            mask = np.zeros(self.n_frames, bool)
+            mask[[r[0] for r in self.grid().filter(roi).select("frame_id").collect()]] = True
+            return mask.reshape(self.nav_shape)
+        return (roi if isinstance(roi, np.ndarray) else self._mask_of(roi)).astype(bool)
+
     def _mask_of(self, coords: Sequence) -> np.ndarray:
         if not len(coords):
             return np.zeros(self.nav_shape, bool)

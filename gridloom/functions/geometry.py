@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 
 def make_cartesian(polar: np.ndarray) -> np.ndarray:
@@ -84,24 +85,17 @@ def lattice(zero: np.ndarray, a: np.ndarray, b: np.ndarray, indices: np.ndarray)
     return np.asarray(zero) + np.asarray(indices) @ np.stack((a, b))
 
 
-def regular_indices(indices: np.ndarray) -> np.ndarray:
-    """Index pairs as (n, 2), from that form or from a grid of shape (2, n, m)."""
-    indices = np.asarray(indices)
-    if indices.ndim == 3 and indices.shape[0] == 2:
-        return indices.transpose(2, 1, 0).reshape(-1, 2)
-    if indices.ndim == 2 and indices.shape[1] == 2:
-        return indices
-    raise ValueError(f"indices of shape {indices.shape}, not (n, 2) or (2, n, m)")
-
-
-def within_frame(points: np.ndarray, margin: float, height: int, width: int) -> np.ndarray:
-    """Which (y, x) points keep ``margin`` to the borders."""
-    return (points >= margin).all(axis=-1) & (points < np.array((height, width)) - margin).all(axis=-1)
-
-
-def frame_peaks(height: int, width: int, zero: np.ndarray, a: np.ndarray, b: np.ndarray, margin: float, indices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and points of the lattice inside a frame."""
-    pairs = regular_indices(indices)
-    points = lattice(zero, a, b, pairs)
-    keep = within_frame(points, margin, height, width)
-    return pairs[keep], points[keep]
+def lattice_table(shape: tuple[int, int], origin: tuple[float, float], a: tuple[float, float], b: tuple[float, float], border: float = 0.0) -> pd.DataFrame:
+    """i, j, y, x of every lattice point of a frame that keeps ``border`` to its edges, by i and j.
+
+    The frame's corners, written in the basis (a, b), bound the indices; nothing has to be guessed. Other selections
+    are filters or joins of the table.
+    """
+    top = np.array(shape, float) - border
+    corners = np.array([(y, x) for y in (border, top[0]) for x in (border, top[1])]) - origin
+    reach = np.linalg.solve(np.array((a, b), float).T, corners.T)
+    spans = [np.arange(np.floor(r.min()), np.ceil(r.max()) + 1, dtype=np.int64) for r in reach]
+    table = pd.MultiIndex.from_product(spans, names=("i", "j")).to_frame(index=False)
+    table[["y", "x"]] = lattice(origin, a, b, table[["i", "j"]].to_numpy())
+    fits = table["y"].between(border, top[0], inclusive="left") & table["x"].between(border, top[1], inclusive="left")
+    return table[fits].reset_index(drop=True)

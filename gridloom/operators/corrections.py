@@ -62,7 +62,7 @@ class CorrectionSet:
 
 def apply_to_frames(x: np.ndarray, corr: CorrectionSet, shape: tuple[int, ...], repairs: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """Corrects a matrix of flattened frames."""
-    out = np.array(x, np.result_type(x, np.float32), copy=True)
+    out = np.array(x, np.result_type(x, np.float32, *(np.asarray(a) for a in (corr.dark, corr.gain) if a is not None)), copy=True)
     if corr.dark is not None:
         out -= np.asarray(corr.dark).reshape(-1)
     if corr.gain is not None:
@@ -74,19 +74,25 @@ def apply_to_frames(x: np.ndarray, corr: CorrectionSet, shape: tuple[int, ...],
 
 
 def correct(cube: Cube, corr: CorrectionSet | None) -> Cube:
-    """The corrected cube; lazy, one pass by Arrow batch."""
+    """The corrected cube; lazy, one pass by Arrow batch. Complex frames stay complex."""
     if corr is None or not corr.have_corrections():
         return cube
-    shape, repairs = cube.sig_shape, corr.repairs(cube.sig_shape)
+    shape, repairs, both = cube.sig_shape, corr.repairs(cube.sig_shape), cube.complex
+    if not both and any(np.iscomplexobj(a) for a in (corr.dark, corr.gain) if a is not None):
+        raise ValueError("complex corrections need a complex cube")
+    names = ["frame", "frame_im"] if both else ["frame"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = apply_to_frames(frames_of(batch), corr, shape, repairs)
+                x = frames_of(batch) + 1j * frames_of(batch, "frame_im") if both else frames_of(batch)
+                out = apply_to_frames(x, corr, shape, repairs)
                 offsets = pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32())
-                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))], ["frame_id", "frame"])
+                parts = (out.real, out.imag) if both else (out,)
+                yield pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(p).reshape(-1))) for p in parts)], ["frame_id", *names])
 
-    return replace(cube, df=cube.df.select("frame_id", "frame").mapInArrow(run, "frame_id long, frame array<double>"), corrections=None)
+    schema = "frame_id long, " + ", ".join(f"{n} array<double>" for n in names)
+    return replace(cube, df=cube.df.select("frame_id", *names).mapInArrow(run, schema), corrections=None)
 
 
 def correct_pixels(cube: Cube, corr: CorrectionSet) -> DataFrame:

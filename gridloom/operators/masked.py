@@ -1,9 +1,10 @@
 """Products of frames with masks: one value per frame and mask.
 
 Three plans with equal results. ``expr``: array expressions over the frame, a projection without shuffle, for small
-stacks. ``join``: pixel form joined with the masks' coordinates form, for sparse masks over large frames; the mask
-table is broadcast if it has at most ``BROADCAST_ROWS`` rows. ``kernel``: a matrix product per Arrow batch, for dense
-stacks. ``auto`` chooses by the number of mask values and their density.
+stacks. ``kernel``: a matrix product per Arrow batch over the pixels that have weight in any mask, also without
+shuffle; it serves sparse masks, dense ones and shifts by frame. ``auto`` takes it from ``EXPR_VALUES`` mask values on.
+``join``: pixel form joined with the masks' coordinates form, where masks exist as a table only; the table is broadcast
+if it has at most ``BROADCAST_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.cube import Cube
+from gridloom.cube import Cube, constant
 from gridloom.functions.masks import MaskStack, mask_table
 from gridloom.operators.reduce import frames_of
 
-EXPR_VALUES = 2048
+EXPR_VALUES = 256
 BROADCAST_ROWS = 1_000_000
 
 
@@ -28,11 +29,11 @@ def dot(frame: Column, weights: np.ndarray) -> Column:
     at = np.flatnonzero(weights)
     if not len(at):
         return F.lit(0.0)
-    flat = F.array(*[F.lit(float(w)) for w in weights[at]])
+    flat = constant(weights[at].astype(np.float64))
     if len(at) == len(weights):
         pairs = F.zip_with(frame, flat, lambda v, w: v.cast("double") * w)
     else:
-        picked = F.transform(F.array(*[F.lit(int(i)) for i in at]), lambda i: F.get(frame, i).cast("double"))
+        picked = F.transform(constant(at), lambda i: F.get(frame, i.cast("int")).cast("double"))
         pairs = F.zip_with(picked, flat, lambda v, w: v * w)
     return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
 
@@ -54,7 +55,7 @@ def apply_masks(cube: Cube, masks, shifts=None, method: str = "auto", names: lis
     if shifts is not None:
         flat = np.stack([_move(m, int(shifts[0]), int(shifts[1])) for m in stack.stack]).reshape(flat.shape)
     if method == "auto":
-        method = "expr" if flat.size <= EXPR_VALUES else "join" if stack.sparse() and not is_complex and np.count_nonzero(flat) <= BROADCAST_ROWS else "kernel"
+        method = "expr" if flat.size <= EXPR_VALUES else "kernel"
     if method == "expr":
         return cube.df.select("frame_id", *_expressions(cube, flat, names, is_complex))
     if method == "join":
@@ -85,17 +86,19 @@ def _joined(cube: Cube, flat: np.ndarray, names: list[str]) -> DataFrame:
 
 
 def _multiplied(cube: Cube, flat: np.ndarray, names: list[str], is_complex: bool) -> DataFrame:
-    shared = cube.spark.sparkContext.broadcast(flat)  # a stack of frames that the caller has in memory
+    at = np.flatnonzero(flat.any(axis=0))
+    shared = cube.spark.sparkContext.broadcast((at, np.ascontiguousarray(flat[:, at].T)))  # a stack of frames that the caller has in memory
     both = cube.complex
     fields = [n for name in names for n in ((name, name + "_im") if is_complex else (name,))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = shared.value.T
+        at, masks = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = frames_of(batch)
-            out = (x + 1j * frames_of(batch, "frame_im") if both else x) @ masks
+            x = x[:, at] if len(at) < x.shape[1] else x
+            out = (x + 1j * frames_of(batch, "frame_im")[:, at] if both else x) @ masks
             columns = [part for k in range(out.shape[1]) for part in ((out[:, k].real, out[:, k].imag) if is_complex else (out[:, k],))]
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c, np.float64)) for c in columns)], ["frame_id", *fields])
 
@@ -112,14 +115,26 @@ def _move(mask: np.ndarray, dy: int, dx: int) -> np.ndarray:
 
 def _shifted_by_frame(cube: Cube, stack: np.ndarray, shifts: DataFrame, names: list[str]) -> DataFrame:
     """Per-frame shifts: the pixel at (y, x) meets the mask at (y - dy, x - dx)."""
-    height, width = cube.sig_shape
+    shape = cube.sig_shape
     moved = shifts.select("frame_id", F.col("dy").cast("int").alias("dy"), F.col("dx").cast("int").alias("dx"))
-    rows = Cube(cube.df.join(moved, "frame_id"), cube.nav_shape, cube.sig_shape).pixels("dy", "dx")
-    y, x = F.floor(F.col("px") / width) - F.col("dy"), F.col("px") % width - F.col("dx")
-    inside = rows.withColumns({"my": y, "mx": x}).filter(F.col("my").between(0, height - 1) & F.col("mx").between(0, width - 1))
-    at = inside.withColumn("px", (F.col("my") * width + F.col("mx")).cast("long"))
-    table = mask_table(cube.spark, stack)
-    if np.count_nonzero(stack) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    long = at.join(table, "px").groupBy("frame_id").agg(*[F.sum(F.when(F.col("mask_id") == k, F.col("v").cast("double") * F.col("w"))).alias(n) for k, n in enumerate(names)])
-    return cube.df.select("frame_id").join(long, "frame_id", "left").select("frame_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    shared = cube.spark.sparkContext.broadcast(stack)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = frames_of(batch)
+            by = np.stack([np.asarray(batch.column(k)) for k in (2, 3)], axis=1)
+            out = np.zeros((len(x), len(names)))
+            ways, of = np.unique(by, axis=0, return_inverse=True)
+            for k, (dy, dx) in enumerate(ways.tolist()):
+                mine = np.flatnonzero(of.reshape(-1) == k)
+                flat = np.stack([_move(m, dy, dx) for m in shared.value]).reshape(len(names), -1)
+                out[mine] = x[mine] @ flat.T
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], ["frame_id", *names])
+
+    if np.iscomplexobj(stack) or cube.complex or len(shape) != 2:
+        raise ValueError("shifts by frame need real masks and frames of two axes")
+    rows = cube.df.select("frame_id", "frame").join(moved, "frame_id")
+    found = rows.select("frame_id", "frame", "dy", "dx").mapInArrow(run, "frame_id long, " + ", ".join(f"`{n}` double" for n in names))
+    return cube.df.select("frame_id").join(found, "frame_id", "left").select("frame_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])

@@ -88,6 +88,39 @@ def _partials(cube: Cube) -> DataFrame:
     return both.select(F.col("px").cast("long").alias("px"), "n", "s.mean", "s.m2", "s.total")
 
 
+def _folded(cube: Cube, names: list[str], of, join, how) -> DataFrame:  # noqa: ANN001
+    """px and ``names``: vectors that each task makes of its frames (``of`` a batch), joined by ``join`` in a tree; ``how`` is the aggregate of what is left."""
+    schema = ", ".join(f"{n} array<double>" for n in names)
+
+    def rows_of(total: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in total], names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = frames_of(batch)
+            if len(x):
+                own = of(x)
+                total = own if total is None else [join(a, b) for a, b in zip(total, own, strict=True)]
+        yield from rows_of(total)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for own in zip(*(frames_of(batch, n) for n in names), strict=True):
+                total = list(own) if total is None else [join(a, b) for a, b in zip(total, own, strict=True)]
+        yield from rows_of(total)
+
+    rows = cube.df.select("frame").mapInArrow(fold, schema)
+    tasks = 0 if cube.df.isStreaming else cube.df.rdd.getNumPartitions()
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        rows = rows.repartition(tasks).mapInArrow(merge, schema)
+    flat = rows.select(F.posexplode(F.arrays_zip(*names)).alias("px", "s"))
+    return flat.groupBy(F.col("px").cast("long").alias("px")).agg(*[how(F.col(f"s.{n}")).alias(n) for n in names])
+
+
 def sum_frames(cube: Cube, method: str = "auto") -> DataFrame:
     """px, intensity (and intensity_im): sum over frames."""
     if _kernel(cube, method):
@@ -102,10 +135,12 @@ def sum_sig(cube: Cube) -> DataFrame:
     return cube.df.select("frame_id", total("frame").alias("intensity"), *([total("frame_im").alias("intensity_im")] if cube.complex else []))
 
 
-def logsum(cube: Cube) -> DataFrame:
+def logsum(cube: Cube, method: str = "auto") -> DataFrame:
     """px, logsum: sum over frames of ln(x - least pixel of the frame + 1)."""
-    shifted = cube.df.select(F.array_min("frame").alias("low"), F.posexplode("frame").alias("px", "v"))
-    return shifted.groupBy(F.col("px").cast("long").alias("px")).agg(F.sum(F.log(F.col("v") - F.col("low") + 1)).alias("logsum"))
+    if _kernel(cube, method):
+        return _folded(cube, ["logsum"], lambda x: [np.log(x - x.min(axis=1, keepdims=True) + 1).sum(axis=0)], np.add, F.sum)
+    shifted = cube.df.select(F.array_min("frame").cast("double").alias("low"), F.posexplode("frame").alias("px", "v"))
+    return shifted.groupBy(F.col("px").cast("long").alias("px")).agg(F.sum(F.log(F.col("v").cast("double") - F.col("low") + 1)).alias("logsum"))
 
 
 def stddev(cube: Cube, method: str = "auto") -> DataFrame:
@@ -136,8 +171,11 @@ def _between(n: Column, mean: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["n"] * F.pow(p["m"] - centre, F.lit(2.0)))
 
 
-def max_frame(cube: Cube, floor: float | None = 0.0) -> DataFrame:
+def max_frame(cube: Cube, floor: float | None = 0.0, method: str = "auto") -> DataFrame:
     """px, intensity: maximum over frames, not below ``floor`` (None: no floor)."""
+    if _kernel(cube, method):
+        low = -np.inf if floor is None else floor
+        return _folded(cube, ["intensity"], lambda x: [np.maximum(x.max(axis=0), low)], np.maximum, F.max)
     top = F.max(F.col("v").cast("double"))
     return cube.pixels().groupBy("px").agg((top if floor is None else F.greatest(F.lit(floor), top)).alias("intensity"))
 
@@ -151,9 +189,12 @@ def frame_stats(cube: Cube) -> DataFrame:
     return rows.select("frame_id", "mean", F.array_min("frame").cast("double").alias("min"), F.array_max("frame").cast("double").alias("max"), F.sqrt(spread / n).alias("std"))
 
 
-def threshold_sum(cube: Cube, threshold: float) -> DataFrame:
+def threshold_sum(cube: Cube, threshold: float, method: str = "auto") -> DataFrame:
     """px, intensity: sum over frames of the values above ``threshold``; pixels without one are absent."""
-    return cube.pixels().filter(F.col("v") > threshold).groupBy("px").agg(F.sum("v").alias("intensity"))
+    if _kernel(cube, method):
+        found = _folded(cube, ["intensity", "n"], lambda x: [np.where(x > threshold, x, 0.0).sum(axis=0), (x > threshold).sum(axis=0).astype(float)], np.add, F.sum)
+        return found.filter("n > 0").drop("n")
+    return cube.pixels().filter(F.col("v") > threshold).groupBy("px").agg(F.sum(F.col("v").cast("double")).alias("intensity"))
 
 
 def pick_pixel(cube: Cube, *coords: int) -> DataFrame:
@@ -173,8 +214,9 @@ def coordinates(cube: Cube) -> DataFrame:
 
 
 def count_frames(cube: Cube) -> DataFrame:
-    """px, num_frames."""
-    return cube.pixels().groupBy("px").agg(F.count(F.lit(1)).alias("num_frames"))
+    """px, num_frames: every frame has every pixel, so frames are counted and no pixel is read."""
+    counted = cube.df.agg(F.count(F.lit(1)).alias("num_frames"))
+    return counted.filter("num_frames > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cube.n_px - 1).cast("long"))).alias("px"), "num_frames")
 
 
 def no_op(cube: Cube) -> None:
@@ -183,7 +225,20 @@ def no_op(cube: Cube) -> None:
 
 
 def bin_pixels(cube: Cube, size: int) -> DataFrame:
-    """frame_id, bin_y, bin_x, v: mean over blocks of ``size`` x ``size`` pixels, smaller ones at the far edges."""
-    rows = cube.with_sig(cube.pixels())
-    block = [F.floor(F.col(c) / size).cast("int").alias(b) for c, b in zip(cube.sig_names, ("bin_y", "bin_x"), strict=True)]
-    return rows.groupBy("frame_id", *block).agg(F.avg(F.col("v").cast("double")).alias("v"))
+    """frame_id, bin_y, bin_x, v: mean over blocks of ``size`` x ``size`` pixels, smaller ones at the far edges.
+
+    Frames are binned where they are; nothing is shuffled.
+    """
+    height, width = cube.sig_shape
+    at_y, at_x = np.arange(0, height, size), np.arange(0, width, size)
+    area = np.outer(np.diff(np.append(at_y, height)), np.diff(np.append(at_x, width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = frames_of(batch).reshape(-1, height, width)
+                out = np.add.reduceat(np.add.reduceat(x, at_y, axis=1), at_x, axis=2) / area
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * area.size, pa.int32()), pa.array(out.reshape(-1)))], ["frame_id", "bins"])
+
+    rows = cube.df.select("frame_id", "frame").mapInArrow(run, "frame_id long, bins array<double>").select("frame_id", F.posexplode("bins").alias("k", "v"))
+    return rows.select("frame_id", F.floor(F.col("k") / len(at_x)).cast("int").alias("bin_y"), (F.col("k") % len(at_x)).cast("int").alias("bin_x"), "v")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.cube import Cube
+from gridloom.cube import Cube, constant
 from gridloom.functions.masks import circular, ring
 from gridloom.operators.reduce import frames_of
 
@@ -23,7 +23,7 @@ def ring_std(cube: Cube, center: tuple[float, float], rad_in: float, rad_out: fl
     inside = np.flatnonzero(ring(center[1], center[0], width, height, rad_out, rad_in))
     if not len(inside):
         return cube.df.select("frame_id", F.lit(float("nan")).alias("intensity"))
-    picked = F.transform(F.array(*[F.lit(int(i)) for i in inside]), lambda i: F.get("frame", i).cast("double"))
+    picked = F.transform(constant(inside), lambda i: F.get("frame", i.cast("int")).cast("double"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     rows = cube.df.select("frame_id", picked.alias("p")).withColumn("m", total("p") / len(inside))
     return rows.select("frame_id", F.sqrt(total(F.transform("p", lambda x: F.pow(x - F.col("m"), F.lit(2.0)))) / len(inside)).alias("intensity"))

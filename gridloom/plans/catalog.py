@@ -6,6 +6,7 @@ against event type and user group. Cube T: ``lineitem`` by supplier against line
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -13,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import analysis as A
+from gridloom import sinks, sources, streaming
 from gridloom import udf as U
+from gridloom.api import Context
 from gridloom.cube import Cube
 from gridloom.functions import masks as M
 from gridloom.operators import center_of_mass as com
 from gridloom.operators import corrections as C
 from gridloom.operators import masked, reduce, ring_stats
-from gridloom.session import ship
+from gridloom.session import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,16 +448,122 @@ def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.Cluster(cube, n_clust=5, n_peaks=10, min_dist=1).channels(cube)["intensity"]
 
 
+class Total(U.FrameUDF):
+    """Sum over frames, and each frame's sum."""
+
+    def get_result_buffers(self) -> dict[str, U.Buffer]:
+        return {"total": self.buffer("sig", dtype=np.float64), "own": self.buffer("nav", dtype=np.float64)}
+
+    def process_tile(self, tile: np.ndarray) -> None:
+        self.results.total[:] += tile.sum(axis=0)
+        self.results.own[:] = tile.sum(axis=(1, 2))
+
+    def merge(self, dest: dict[str, np.ndarray], src: dict[str, np.ndarray]) -> None:
+        dest["total"][:] += src["total"]
+
+
+@query("SELECT px, round(sum((v - px / 64.0) * 2), 6) + 0.0 AS intensity FROM p GROUP BY px")
+def iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of several partial results, with corrections."""
+    cube = cube_e(spark, sf_dir)
+    fix = C.CorrectionSet(np.arange(64).reshape(8, 8) / 64, np.full((8, 8), 2.0))
+    *_, (_, result) = U.iterate(cube, Total(), 4, corrections=fix)
+    flat = result["total"].reshape(-1)
+    return _rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(flat)], "px long, intensity double"), "intensity")
+
+
+# formats: the whole cube is written by the tasks as a file of the format and read again by its reader
+
+
+def _line(spark: SparkSession, sf_dir: str, of: Callable[[Column], Column]) -> Cube:
+    """All frames on a navigation axis of their own length."""
+    df = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return Cube.from_dataframe(df, "vec_id", F.transform(F.col("embedding").cast("array<double>"), of), (df.count(), 1), (SIDE, SIDE))
+
+
+def _through(kind: str, name: str, stored: str, of: Callable[[Column], Column] = lambda v: v, **options) -> Query:  # noqa: ANN003
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ctx, cube = Context(spark), _line(spark, sf_dir, of)
+        path = os.path.join(shared_folder(spark), name)
+        ctx.write(cube, path, kind, stored)
+        return ctx.load(kind, path, nav_shape=cube.nav_shape, **options).pixels().select("frame_id", "px", r6("v").alias("v"))
+
+    run.__name__ = f"source_{kind}"
+    return run
+
+
+_SAME = "SELECT frame_id, px, round(v, 6) + 0.0 AS v FROM p"
+_COUNTS = "SELECT frame_id, px, floor((v + 1) * {0}) + 0.0 AS v FROM p"
+query(_SAME)(_through("raw", "a.raw", "<f4", dtype="<f4", sig_shape=(SIDE, SIDE)))
+query(_SAME)(_through("npy", "a.npy", "<f4"))
+query(_SAME)(_through("mrc", "a.mrc", "<f4"))
+query(_COUNTS.format(10000))(_through("mib", "a.mib", "<u2", lambda v: F.floor((v + 1) * 10000).cast("double")))
+query(_COUNTS.format(100))(_through("blo", "a.blo", "|u1", lambda v: F.floor((v + 1) * 100).cast("double")))
+query(_COUNTS.format(10000))(_through("seq", "a.seq", "<u2", lambda v: F.floor((v + 1) * 10000).cast("double")))
+query(_COUNTS.format(10000))(_through("tvips", "a_000.tvips", "<u2", lambda v: F.floor((v + 1) * 10000).cast("double")))
+query("SELECT frame_id, px, round(CASE WHEN abs(v) > 0.1 THEN v ELSE 0 END, 6) + 0.0 AS v FROM p")(_through("raw_csr", "a.toml", "<f4", lambda v: F.when(F.abs(v) > 0.1, v).otherwise(0.0)))
+
+
+@query("SELECT frame_id, px, round(v, 6) + 0.0 AS v FROM p WHERE abs(v) > 0.1")
+def source_csr_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse frames as pixel rows, never made dense."""
+    ctx, cube = Context(spark), _line(spark, sf_dir, lambda v: F.when(F.abs(v) > 0.1, v).otherwise(0.0))
+    path = os.path.join(shared_folder(spark), "a.toml")
+    ctx.write(cube, path, "raw_csr", "<f4")
+    return sources.csr_pixels(spark, path, nav_shape=cube.nav_shape).select("frame_id", "px", r6("v").alias("v"))
+
+
+@query(_SAME)
+def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = cube_e(spark, sf_dir)
+    path = os.path.join(shared_folder(spark), "frames")
+    sinks.write_parquet(cube, "file://" + path)
+    back = Cube(spark.read.parquet("file://" + path), cube.nav_shape, cube.sig_shape)
+    return back.pixels().select("frame_id", "px", r6("v").alias("v"))
+
+
+def _result_file(kind: str, read: Callable[[str], np.ndarray]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        image = np.zeros(SIDE * SIDE)
+        for px, v in reduce.sum_frames(cube_e(spark, sf_dir)).toLocalIterator():  # a result of one frame
+            image[px] = v
+        path = os.path.join(shared_folder(spark), f"sum.{'npz' if kind.startswith('NPZ') else 'raw'}")
+        sinks.write_results(path, {"intensity": image.reshape(SIDE, SIDE)}, kind)
+        flat = read(path).reshape(-1)
+        return _rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(flat)], "px long, intensity double"), "intensity")
+
+    run.__name__ = f"sink_{kind.lower()}"
+    return run
+
+
+_SUM = "SELECT px, round(sum(v), 6) + 0.0 AS intensity FROM p GROUP BY px"
+query(_SUM)(_result_file("NPZ", lambda path: np.load(path)["intensity"]))
+query(_SUM)(_result_file("NPZ_COMPRESSED", lambda path: np.load(path)["intensity"]))
+query(_SUM)(_result_file("RAW", lambda path: np.fromfile(path)))
+
+
+@query("SELECT px, round(sum(v), 6) + 0.0 AS intensity FROM p GROUP BY px")
+def streamed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last snapshot of a running sum over the table read as a stream."""
+    plain = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    stream = spark.readStream.schema(plain.schema).parquet(f"{sf_dir}/embeddings.parquet*")
+    cube = Cube.from_dataframe(stream, "vec_id", F.col("embedding").cast("array<double>"), (1, 1), (SIDE, SIDE))
+    run = streaming.snapshots(reduce.sum_frames(cube))
+    run.query.awaitTermination()
+    return _rounded(spark.createDataFrame([(r["px"], r["intensity"]) for r in run.latest()], "px long, intensity double"), "intensity")
+
+
 # cubes of the other tables
 
 
 @query("SELECT frame_id, round(sum(total), 6) + 0.0 AS intensity FROM (SELECT (epoch(date_trunc('day', ts)) / 86400)::BIGINT % 30 * 24 + hour(ts) AS frame_id, event_type, user_id % 8 AS g, sum(value) AS total FROM events GROUP BY ALL) GROUP BY frame_id")
 def events_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 64 kinds by 8 user groups, made dense from the sparse rows; then the sum over each frame."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     day = F.floor(F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp"))) / 86400).cast("long")
     kinds = F.pmod(F.xxhash64("event_type"), F.lit(64))
     pixels = rows.select((day % 30 * 24 + F.hour("ts")).cast("long").alias("frame_id"), (kinds * 8 + F.col("user_id") % 8).cast("long").alias("px"), F.col("value").alias("v"))
-    return pixels.groupBy("frame_id").agg(r6(F.sum("v")).alias("intensity"))
+    return _rounded(reduce.sum_sig(Cube.from_pixels(pixels, (30, 24), (64, 8))), "intensity")
 
 
 @query("SELECT l_suppkey AS frame_id, (l_linenumber - 1)::BIGINT AS px, sum(l_quantity) AS v FROM lineitem GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,21 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(shutil.make_archive(os.path.join(folder, "gridloom"), "zip", os.path.dirname(base)))
         context._gridloom_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors reach by plain paths, for files that readers open themselves.
+
+    It is made below ``spark.checkpoint.dir``; only with a local master, where that is unset, it is a temporary one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return tempfile.mkdtemp(prefix="gridloom-")
+    scheme, _, rest = base.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{base} can't be reached by plain paths")
+    path = os.path.join("/" + rest.lstrip("/"), f"gridloom-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path

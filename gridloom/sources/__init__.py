@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,23 @@ from .formats import REGISTRY, Format, FormatError, Layout, RawCSR
 
 __all__ = ["FormatError", "FrameSource", "Layout", "detect", "load", "register", "register_format", "unregister_format"]
 
-#: Bytes of decoded frames (as double) of one input partition.
+#: Bytes of decoded frames of one input partition.
 PARTITION_BYTES = 128 * 1024 * 1024
 #: Bytes of one Arrow batch.
 BATCH_BYTES = 8 * 1024 * 1024
 
 
+#: Column types that hold a file's pixels without loss, by kind and size (there are no unsigned ones); others are double.
+NATIVE = {"u1": "smallint", "i1": "tinyint", "u2": "int", "i2": "smallint", "u4": "bigint", "i4": "int", "i8": "bigint", "f4": "float", "c8": "float"}
+ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
+
+
+def column_type(dtype: str) -> str:
+    """The element type of a frame column for a file's dtype."""
+    kind = np.dtype(dtype)
+    return NATIVE.get(f"{kind.kind}{kind.itemsize}", "double")
+
+
 class FrameRange(InputPartition):
     def __init__(self, start: int, stop: int) -> None:
         super().__init__((start, stop))
@@ -37,8 +48,9 @@ class FrameRange(InputPartition):
 
 
 class FrameReader(DataSourceReader):
-    def __init__(self, layout: dict, partitions: int | None) -> None:
+    def __init__(self, layout: dict, partitions: int | None, kind: str | None = None) -> None:
         self.layout = layout
+        self.kind = kind or column_type(layout["dtype"])
         self.wanted = partitions
         self.low, self.high = 0, layout["n_frames"]
 
@@ -61,7 +73,7 @@ class FrameReader(DataSourceReader):
         n = self.high - self.low
         if n <= 0:
             return [FrameRange(0, 0)]
-        size = 8 * int(np.prod(self.layout["sig_shape"]))
+        size = ARROW[self.kind].bit_width // 8 * int(np.prod(self.layout["sig_shape"]))
         parts = self.wanted or max(1, -(-n * size // PARTITION_BYTES))
         cuts = np.linspace(self.low, self.high, min(parts, n) + 1).astype(int)
         return [FrameRange(int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -69,14 +81,15 @@ class FrameReader(DataSourceReader):
     def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
         layout = Layout(**self.layout)
         kind = REGISTRY[layout.format]
-        step = max(1, BATCH_BYTES // (8 * layout.n_px))
+        stored = ARROW[self.kind]
+        step = max(1, BATCH_BYTES // (stored.bit_width // 8 * layout.n_px))
         for a in range(partition.start, partition.stop, step):
             b = min(a + step, partition.stop)
             x = kind.frames(layout, a, b)
             columns = [pa.array(np.arange(a, b), pa.int64())]
             offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * layout.n_px)
             for part in (x.real, x.imag) if np.iscomplexobj(x) else (x,):
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part, np.float64).reshape(-1))))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part, stored.to_pandas_dtype()).reshape(-1))))
             yield pa.record_batch(columns, ["frame_id", "frame", "frame_im"][: len(columns)])
 
 
@@ -101,12 +114,12 @@ class FrameStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[FrameRange]:
         self.sent = max(self.sent, end["frame"])
-        reader = FrameReader(asdict(self._layout()), None)
+        reader = FrameReader(asdict(self._layout()), None, "double")
         reader.low, reader.high = start["frame"], end["frame"]
         return reader.partitions()
 
     def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
-        return FrameReader(asdict(self._layout()), None).read(partition)
+        return FrameReader(asdict(self._layout()), None, "double").read(partition)
 
     def commit(self, end: dict) -> None:
         """Nothing is held back."""
@@ -119,8 +132,9 @@ class FrameSource(DataSource):
 
     def schema(self) -> str:
         dtype = json.loads(self.options["layout"])["dtype"] if "layout" in self.options else "f8"
-        im = ", frame_im array<double>" if np.dtype(dtype).kind == "c" else ""
-        return "frame_id long, frame array<double>" + im
+        kind = column_type(dtype) if "layout" in self.options else "double"
+        im = f", frame_im array<{kind}>" if np.dtype(dtype).kind == "c" else ""
+        return f"frame_id long, frame array<{kind}>" + im
 
     def reader(self, schema: StructType) -> FrameReader:
         parts = self.options.get("partitions")
@@ -172,10 +186,10 @@ def load(spark: SparkSession, filetype: str, path: str | None = None, *, sync_of
         reader = reader.option("partitions", num_partitions)
     df = reader.load()
     shape = tuple(layout.nav_shape)
-    cube = Cube(df, shape, tuple(layout.sig_shape), np.dtype(layout.dtype).kind == "c")
+    cube = Cube(df, shape, tuple(layout.sig_shape), np.dtype(layout.dtype).kind == "c", REGISTRY[filetype].found_corrections(path))
     if sync_offset:
         return cube.synced(sync_offset)
-    return cube if cube.n_frames == layout.n_frames else Cube(df.filter(f"frame_id < {cube.n_frames}"), shape, cube.sig_shape, cube.complex)
+    return cube if cube.n_frames == layout.n_frames else replace(cube, df=df.filter(f"frame_id < {cube.n_frames}"))
 
 
 def follow(spark: SparkSession, filetype: str, path: str, nav_shape: tuple[int, ...], sig_shape: tuple[int, ...], frames_per_trigger: int = 0, **options) -> Cube:  # noqa: ANN003

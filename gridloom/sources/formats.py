@@ -57,6 +57,11 @@ class Format:
     def frames(cls, layout: Layout, start: int, stop: int) -> np.ndarray:
         raise NotImplementedError
 
+    @classmethod
+    def found_corrections(cls, path: str):  # noqa: ANN206
+        """Corrections that come with the file; they apply where a run names none of its own."""
+        return None
+
     @classmethod
     def detect(cls, path: str) -> bool:
         """Whether the file looks like this format."""
@@ -94,9 +99,16 @@ def _strided(path: str, dtype: str, first: int, stride: int, px: int, start: int
             if data.size != out.size:
                 raise FormatError(f"{path} ends early")
             return data.reshape(out.shape)
-        for k, i in enumerate(range(start, stop)):
-            file.seek(first + i * stride)
-            out[k] = np.frombuffer(file.read(px * kind.itemsize), kind)
+        if not len(out):
+            return out
+        # one read of all frames and what lies between them
+        size = px * kind.itemsize
+        file.seek(first + start * stride)
+        data = file.read((stop - start - 1) * stride + size)
+        if len(data) < (stop - start - 1) * stride + size:
+            raise FormatError(f"{path} ends early")
+        view = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8), (stop - start, size), (stride, 1))
+        out[:] = np.ascontiguousarray(view).view(kind)
     return out
 
 
@@ -393,6 +405,11 @@ class Seq(Format):
     def frames(cls, layout: Layout, start: int, stop: int) -> np.ndarray:
         return _strided(layout.paths[0], layout.dtype, layout.facts["first"], layout.facts["stride"], layout.n_px, start, stop)
 
+    @classmethod
+    def found_corrections(cls, path: str):  # noqa: ANN206
+        found = cls.corrections(path)
+        return found if found.have_corrections() else None
+
     @classmethod
     def corrections(cls, path: str):  # noqa: ANN206
         """Dark and gain references and bad pixels beside the file, as far as they are there."""

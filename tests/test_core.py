@@ -45,6 +45,25 @@ def test_reductions(cube, data):
     assert (vector(reduce.max_frame(cube.select(np.zeros((5, 6), bool) | True)), 28, "intensity") == flat.max(0)).all()
 
 
+@pytest.mark.parametrize("method", ["expr", "kernel"])
+def test_other_reductions_over_frames(cube, data, method, monkeypatch):
+    monkeypatch.setattr(reduce, "FAN", 2)
+    flat = data.reshape(30, 28) - 0.5
+    moved = Cube.from_numpy(cube.spark, data - 0.5)
+    moved = Cube(moved.df.repartition(5), moved.nav_shape, moved.sig_shape)
+    assert np.allclose(vector(reduce.logsum(moved, method), 28, "logsum"), np.log(flat - flat.min(1, keepdims=True) + 1).sum(0))
+    assert np.allclose(vector(reduce.max_frame(moved, 0.0, method), 28, "intensity"), np.maximum(flat.max(0), 0))
+    assert np.allclose(vector(reduce.max_frame(moved, None, method), 28, "intensity"), flat.max(0))
+    high = np.where(flat > 0.49, flat, 0).sum(0)
+    found = by(reduce.threshold_sum(moved, 0.49, method), "px", "intensity")
+    assert set(found) == set(np.flatnonzero(high)) and np.allclose([found[k] for k in sorted(found)], high[high > 0])
+    assert by(reduce.count_frames(moved.roi[2]), "px", "num_frames") == dict.fromkeys(range(28), 6)
+    assert reduce.count_frames(moved.select(np.zeros((5, 6), bool))).count() == 0
+    bins = {(r.frame_id, r.bin_y, r.bin_x): r.v for r in reduce.bin_pixels(moved, 3).collect()}
+    x = data.reshape(30, 4, 7) - 0.5
+    assert len(bins) == 30 * 2 * 3 and all(np.isclose(v, x[f, 3 * i : 3 * i + 3, 3 * j : 3 * j + 3].mean()) for (f, i, j), v in bins.items())
+
+
 def test_partial_vectors_are_merged_in_a_tree(cube, data, monkeypatch):
     monkeypatch.setattr(reduce, "FAN", 3)
     wide = Cube(cube.df.repartition(11), cube.nav_shape, cube.sig_shape)
@@ -234,6 +253,102 @@ def test_udf(cube, data):
     assert [d.sum() for d, _ in steps] == [10, 20, 30] and np.allclose(steps[-1][1]["mean"], data.mean((0, 1)))
 
 
+class Tasks(udf.FrameUDF):
+    """Which tasks have seen frames, and in how many of them the operator was cleaned up."""
+
+    def get_result_buffers(self):
+        return {"tasks": self.buffer("single", (64,), np.int64), "span": self.buffer("nav", dtype=np.float64)}
+
+    def process_frame(self, frame):
+        from pyspark import TaskContext
+
+        self.results.tasks[0, TaskContext.get().partitionId()] += 1
+        self.results.span[:] = np.ptp(frame)
+
+    def merge(self, dest, src):
+        dest["tasks"][:] += src["tasks"]
+
+
+def test_operators_run_where_the_frames_are(cube):
+    wide = Cube(cube.df.repartitionByRange(16, "frame_id"), cube.nav_shape, cube.sig_shape)
+    tasks = udf.run_udf(wide, Tasks())["tasks"][0]
+    assert (tasks > 0).sum() == 16 and tasks.sum() == 30
+
+
+def test_iterated_results_are_those_of_one_run(cube, data):
+    ctx = Context(cube.spark)
+    dark, gain = np.full((4, 7), 1.0), np.full((4, 7), 2.0)
+    fix = corr.CorrectionSet(dark, gain)
+    roi = np.zeros((5, 6), bool)
+    roi[1:4, ::2] = True
+    wide = Cube(cube.df.repartitionByRange(6, "frame_id"), cube.nav_shape, cube.sig_shape)
+    steps = list(ctx.run_udf_iter(wide, [Stats(), InOrder(), Tasks()], parts=5, roi=roi, corrections=fix))
+    assert [d.sum() for d, _ in steps] == [roi[:k].sum() for k in range(1, 6)]
+    for k in range(2, 6):
+        done = roi.copy()
+        done[k:] = False
+        stats, ordered, tasks = steps[k - 1][1]
+        want = (data[done] - 1) * 2
+        assert np.allclose(stats["mean"], want.mean(0)) and stats["n"][0] == done.sum() == ordered["seen"][0]
+        order = ordered["order"][0]
+        assert (np.diff(order[order > 0]) > 0).all()
+        pairs = by(stats.nav, "frame_id", "pair")
+        assert set(pairs) == set(np.flatnonzero(done)) == set(by(tasks.nav, "frame_id", "span"))
+        assert all(np.allclose(pairs[i], (x.min(), x.max())) for i, x in zip(np.flatnonzero(done), want, strict=True))
+    whole = ctx.run_udf(wide, Stats(), roi=roi, corrections=fix)
+    assert np.allclose(whole["mean"], steps[-1][1][0]["mean"])
+    held = Cube(cube.df, cube.nav_shape, cube.sig_shape, corrections=fix)
+    assert np.allclose(list(ctx.run_udf_iter(held, Stats(), parts=2))[-1][1]["mean"], ((data - 1) * 2).mean((0, 1)))
+    assert ctx.inspect_udf(cube, Stats())["pair"] == ("nav", (5, 6, 2), np.dtype(np.float64)) and "total" not in ctx.inspect_udf(cube, Stats())
+
+
+def test_corrections_of_complex_frames(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((2, 3, 4, 5)) + 1j * rng.random((2, 3, 4, 5))
+    dark = rng.random((4, 5)) + 1j * rng.random((4, 5))
+    cube = Cube.from_numpy(spark, x)
+    got = corr.correct(cube, corr.CorrectionSet(dark, excluded=np.array([[1], [2]])))
+    want = x - dark
+    around = [want[..., i, j] for i in range(3) for j in range(1, 4) if (i, j) != (1, 2)]
+    want[..., 1, 2] = np.mean(around, axis=0)
+    assert got.complex and np.allclose(got.to_numpy(), want)
+    assert np.allclose(vector(reduce.sum_frames(got), 20, "intensity_im"), want.imag.sum((0, 1)).ravel())
+    with pytest.raises(ValueError):
+        corr.correct(Cube.from_numpy(spark, x.real), corr.CorrectionSet(dark))
+
+
+def test_clusters_by_brute_force(spark):
+    """Ward's criterion, always the cheapest pair of neighbouring groups, on a small grid."""
+    from gridloom.analysis import _Ward
+
+    rng = np.random.default_rng(5)
+    for shape, k in (((5, 6), 4), ((4, 4), 2)):
+        x = rng.random((shape[0] * shape[1], 3))
+        groups = [{i} for i in range(len(x))]
+        beside = lambda a, b: any(abs(i // shape[1] - j // shape[1]) + abs(i % shape[1] - j % shape[1]) == 1 for i in a for j in b)
+        while len(groups) > k:
+            costs = [(len(a) * len(b) / (len(a) + len(b)) * ((x[list(a)].mean(0) - x[list(b)].mean(0)) ** 2).sum(), m, n) for m, a in enumerate(groups) for n, b in enumerate(groups) if m < n and beside(a, b)]
+            _, m, n = min(costs)
+            groups[m] |= groups.pop(n)
+        labels = _Ward(k).labels(x, shape)
+        assert {frozenset(np.flatnonzero(labels == v).tolist()) for v in set(labels)} == {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize(("turn", "flip"), [(0, False), (37, False), (-120, True)])
+def test_guessed_corrections(spark, turn, flip):
+    """A field without curl, turned and flipped as the detector would: the guess undoes it."""
+    y, x = np.mgrid[:9, :9] - 4.0
+    bump = np.exp(-(y**2 + x**2) / 6)
+    field = np.stack((-y * bump, -x * bump), axis=-1)  # towards the middle
+    back = np.linalg.inv(com.transform(turn, flip))
+    raw = field @ np.asarray(back).T
+    sy, sx = np.mgrid[:32, :32]
+    spots = np.exp(-((sy[None, None] - 15 - raw[..., 0, None, None]) ** 2 + (sx[None, None] - 15 - raw[..., 1, None, None]) ** 2) / 4)
+    guess = com.guess_corrections(Cube.from_numpy(spark, spots), com.ComParams(cy=15, cx=15))
+    apart = (guess.scan_rotation - turn + 180) % 360 - 180
+    assert guess.flip_y == flip and abs(apart) <= 1 and abs(guess.cy - 15) < 0.1 and abs(guess.cx - 15) < 0.1
+
+
 def test_analyses(cube, data):
     ctx = Context(cube.spark)
     assert np.allclose(vector(ctx.run(ctx.create_sum_analysis(cube))["intensity"], 28, "intensity"), data.sum((0, 1)).ravel())
@@ -258,7 +373,9 @@ def test_mask_generators():
     assert np.allclose(masks.radial_bins(8, 8, 16, 16, n_bins=4, normalize=True).sum((1, 2))[1:], 1)
     whole = masks.radial_bins(8, 8, 16, 16, radius=6, n_bins=3)
     assert whole[0, 8, 8] == 1 and np.allclose(whole.sum(0)[masks.circular(8, 8, 16, 16, 5)], 1)
-    assert (geometry.regular_indices(np.mgrid[:2, :3]) == [(0, 0), (1, 0), (0, 1), (1, 1), (0, 2), (1, 2)]).all()
+    table = geometry.lattice_table((20, 30), (9.5, 11.0), (3.0, 1.0), (-1.0, 4.0), border=2)
+    every = [(i, j, 9.5 + 3 * i - j, 11.0 + i + 4 * j) for i in range(-40, 41) for j in range(-40, 41)]
+    assert list(table.itertuples(index=False, name=None)) == [p for p in every if 2 <= p[2] < 18 and 2 <= p[3] < 28]
     assert masks.rectangular(1, 1, 2, 3, 8, 8).sum() == 12 and masks.rectangular(3, 4, -2, -3, 8, 8).sum() == 12 and not masks.rectangular(1, 1, 0, 3, 8, 8).any()
     assert masks.binning_stack(5, 5, 2).shape == (9, 5, 5)
     assert masks.circular_stack([2], [2], 5, 5, 1).sum() == 5
@@ -299,6 +416,33 @@ def test_sources_and_sinks(spark, cube, data, tmp_path):
     assert np.fromfile(tmp_path / "r.raw").size == 56
 
 
+@pytest.mark.parametrize(("kind", "name", "dtype"), [("raw", "a.raw", "<f4"), ("mib", "a.mib", "<u2"), ("mib", "b.mib", "<u4"), ("mrc", "a.mrc", "<f4"), ("blo", "a.blo", "|u1"), ("seq", "a.seq", "<u2"), ("tvips", "a_000.tvips", "<u2"), ("raw_csr", "a.toml", "<f4")])
+def test_formats_written_and_read(spark, tmp_path, kind, name, dtype):
+    ctx = Context(spark)
+    x = np.random.default_rng(0).integers(0, 200, (4, 5, 8, 8)).astype(float) * (np.random.default_rng(1).random((4, 5, 8, 8)) > 0.4)
+    cube = Cube.from_numpy(spark, x)
+    shuffled = Cube(cube.df.repartition(3), cube.nav_shape, cube.sig_shape)
+    path = str(tmp_path / name)
+    ctx.write(shuffled, path, kind, dtype)
+    more = {"dtype": dtype, "sig_shape": (8, 8)} if kind == "raw" else {}
+    back = ctx.load(kind, path, nav_shape=(4, 5), **more)
+    assert (back.to_numpy() == x).all() and (back.roi[1:3, 2].df.count() == 2)
+    with pytest.raises(FileExistsError):
+        ctx.write(cube, path, kind, dtype)
+
+
+def test_corrections_beside_a_sequence_apply(spark, tmp_path):
+    ctx = Context(spark)
+    x = np.random.default_rng(0).integers(5, 200, (2, 3, 8, 8)).astype(float)
+    path = str(tmp_path / "a.seq")
+    ctx.write(Cube.from_numpy(spark, x), path, "seq", "<u2")
+    ctx.write(Cube.from_numpy(spark, np.full((1, 1, 8, 8), 2.0)), path + ".dark.mrc", "mrc", "<f4")
+    cube = ctx.load("seq", path, nav_shape=(2, 3))
+    assert np.allclose(vector(ctx.run(ctx.create_sum_analysis(cube))["intensity"], 64, "intensity"), (x - 2).sum((0, 1)).ravel())
+    none = corr.CorrectionSet(np.zeros((8, 8)))
+    assert np.allclose(vector(ctx.run(ctx.create_sum_analysis(cube), corrections=none)["intensity"], 64, "intensity"), x.sum((0, 1)).ravel())
+
+
 def _mib(tmp_path, frames, kind, bits, packed, chips=1, shape=None, layout="1x1"):
     h, w = shape or frames.shape[1:]
     out = b""
@@ -407,8 +551,8 @@ def test_follow_a_growing_file(spark, tmp_path):
 def test_generators(spark):
     from gridloom.functions import generate as g
 
-    frame, indices, points = g.disk_lattice(all_equal=True)
-    assert frame.shape == (128, 128) and len(indices) == len(points) and frame[64, 64] == 1
+    frame = g.rosette(64, 4, 16, 3)
+    assert frame.shape == (64, 64) and np.allclose(frame[1:, 1:], np.rot90(frame[1:, 1:]), atol=0.3) and frame[48, 32] == 1 and frame[32, 32] == 0
     bad = g.repairable_pixels((16, 16), 9, np.random.default_rng(0))
     cube_of = Cube(g.gradient_frames(spark, (3, 4), (16, 16), 3), (3, 4), (16, 16))
     data = g.gradient_cube((3, 4), (16, 16))
@@ -418,7 +562,9 @@ def test_generators(spark):
     mended = corr.correct(Cube.from_numpy(spark, broken), corr.CorrectionSet(excluded=bad)).to_numpy()
     assert np.allclose(mended, data, rtol=1e-5)
     amp, phi = np.ones((32, 32)), np.zeros((32, 32))
-    holo = g.hologram(amp, phi, blur=1.0)
+    holo = g.smoothed(g.hologram(amp, phi), 1.0)
+    noisy = g.counted(holo, 50.0, np.random.default_rng(0))
+    assert abs(noisy.mean() / holo.mean() - 1) < 0.02 and 0 < (noisy - holo).std() < 0.3 * holo.mean()
     assert holo.shape == (32, 32) and abs(holo.mean() - 1000) < 60
     with pytest.raises(ValueError):
         g.hologram(amp, phi[:4])
@@ -428,9 +574,7 @@ def test_radial_symmetry(spark):
     """Disks of 1-, 2- and 4-fold symmetry around the centre have their first strong order there."""
     from gridloom.functions import generate as g
 
-    zero, a = np.array((32.0, 32.0)), np.array((0.0, 16.0))
-    rings = [[(0, 1)], [(0, 1), (0, -1)], [(0, 1), (0, -1), (1, 0), (-1, 0)]]
-    frames = np.stack([g.disk_lattice(64, 64, zero, np.array((16.0, 0.0)), a, np.array(r), 4, True, 0)[0] for r in rings])
+    frames = np.stack([g.rosette(64, fold, 16, 4) for fold in (1, 2, 4)])
     cube = Cube.from_numpy(spark, frames.reshape(3, 1, 64, 64))
     ctx = Context(spark)
     out = ctx.run(ctx.create_radial_fourier_analysis(cube, cx=32, cy=32, ri=10, ro=22, n_bins=1, max_order=8))
