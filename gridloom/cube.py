@@ -8,7 +8,7 @@ lazy and a selection by ``frame_id`` reaches the scan.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -79,6 +79,38 @@ class Cube:
     complex: bool = False
     corrections: object = None
     selected: bool = field(default=False, repr=False)
+    #: The frames, the layout of their file, partitions, and the steps from the file's frames to these (functions of
+    #: Arrow batches); counts only while ``df`` is those frames.
+    origin: tuple | None = field(default=None, repr=False, compare=False)
+
+    def mapped(self, run, schema: str, *more: str) -> DataFrame:  # noqa: ANN001
+        """``run`` over Arrow batches of frame_id, frame, frame_im (if complex) and ``more`` columns.
+
+        Frames that are as they were loaded from a file are read by the very task that runs ``run``: they reach it as
+        the file has them, without a way through the JVM and back.
+        """
+        columns = ["frame_id", "frame", *(["frame_im"] if self.complex else []), *more]
+        if more or self.origin is None or self.origin[0] is not self.df:
+            return self.df.select(*columns).mapInArrow(run, schema)
+        from gridloom.sources import FrameRange, FrameReader
+
+        _, layout, parts, steps = self.origin
+
+        def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader = FrameReader(layout, None)
+
+            def frames() -> Iterator[pa.RecordBatch]:
+                for batch in it:  # neighbouring ids
+                    if batch.num_rows:
+                        ids = np.asarray(batch.column(0))
+                        yield from reader.read(FrameRange(int(ids[0]), int(ids[-1]) + 1))
+
+            made = frames()
+            for step in steps:
+                made = step(made)
+            return run(made)
+
+        return self.spark.range(0, self.n_frames, 1, parts).mapInArrow(read, schema)
 
     # shapes
     @property

@@ -92,7 +92,11 @@ def correct(cube: Cube, corr: CorrectionSet | None) -> Cube:
                 yield pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(p).reshape(-1))) for p in parts)], ["frame_id", *names])
 
     schema = "frame_id long, " + ", ".join(f"{n} array<double>" for n in names)
-    return replace(cube, df=cube.df.select("frame_id", *names).mapInArrow(run, schema), corrections=None)
+    done = replace(cube, df=cube.mapped(run, schema), corrections=None)
+    if cube.origin is None or cube.origin[0] is not cube.df:
+        return done
+    # what follows runs in the task that reads and corrects
+    return replace(done, origin=(done.df, *cube.origin[1:3], (*cube.origin[3], run)))
 
 
 def correct_pixels(cube: Cube, corr: CorrectionSet) -> DataFrame:

@@ -102,7 +102,7 @@ def _multiplied(cube: Cube, flat: np.ndarray, names: list[str], is_complex: bool
             columns = [part for k in range(out.shape[1]) for part in ((out[:, k].real, out[:, k].imag) if is_complex else (out[:, k],))]
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c, np.float64)) for c in columns)], ["frame_id", *fields])
 
-    return cube.df.select("frame_id", "frame", *(["frame_im"] if both else [])).mapInArrow(run, "frame_id long, " + ", ".join(f"`{n}` double" for n in fields))
+    return cube.mapped(run, "frame_id long, " + ", ".join(f"`{n}` double" for n in fields))
 
 
 def _move(mask: np.ndarray, dy: int, dx: int) -> np.ndarray:

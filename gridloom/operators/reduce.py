@@ -23,7 +23,7 @@ KERNEL_PX = 1024
 def frames_of(batch: pa.RecordBatch, name: str = "frame") -> np.ndarray:
     """A batch's frames as a matrix."""
     lists = batch.column(batch.schema.get_field_index(name))
-    flat = np.asarray(lists.flatten(), np.float64)
+    flat = np.array(lists.flatten(), np.float64)
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
@@ -67,8 +67,10 @@ def _partials(cube: Cube) -> DataFrame:
         for batch in batches:
             x = frames_of(batch)
             if len(x):
-                mean = x.mean(axis=0)
-                out.add(len(x), mean, ((x - mean) ** 2).sum(axis=0), x.sum(axis=0))
+                total = x.sum(axis=0)
+                mean = total / len(x)
+                x -= mean
+                out.add(len(x), mean, np.einsum("ij,ij->j", x, x), total)
         yield from out.rows()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +81,8 @@ def _partials(cube: Cube) -> DataFrame:
                 out.add(n, *parts)
         yield from out.rows()
 
-    rows = cube.df.select("frame").mapInArrow(fold, _VECTORS)
-    tasks = 0 if cube.df.isStreaming else cube.df.rdd.getNumPartitions()
+    rows = cube.mapped(fold, _VECTORS)
+    tasks = 0 if cube.df.isStreaming else rows.rdd.getNumPartitions()
     while tasks > FAN:
         tasks = -(-tasks // FAN)
         rows = rows.repartition(tasks).mapInArrow(merge, _VECTORS)
@@ -112,8 +114,8 @@ def _folded(cube: Cube, names: list[str], of, join, how) -> DataFrame:  # noqa:
                 total = list(own) if total is None else [join(a, b) for a, b in zip(total, own, strict=True)]
         yield from rows_of(total)
 
-    rows = cube.df.select("frame").mapInArrow(fold, schema)
-    tasks = 0 if cube.df.isStreaming else cube.df.rdd.getNumPartitions()
+    rows = cube.mapped(fold, schema)
+    tasks = 0 if cube.df.isStreaming else rows.rdd.getNumPartitions()
     while tasks > FAN:
         tasks = -(-tasks // FAN)
         rows = rows.repartition(tasks).mapInArrow(merge, schema)
@@ -240,5 +242,5 @@ def bin_pixels(cube: Cube, size: int) -> DataFrame:
                 out = np.add.reduceat(np.add.reduceat(x, at_y, axis=1), at_x, axis=2) / area
                 yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * area.size, pa.int32()), pa.array(out.reshape(-1)))], ["frame_id", "bins"])
 
-    rows = cube.df.select("frame_id", "frame").mapInArrow(run, "frame_id long, bins array<double>").select("frame_id", F.posexplode("bins").alias("k", "v"))
+    rows = cube.mapped(run, "frame_id long, bins array<double>").select("frame_id", F.posexplode("bins").alias("k", "v"))
     return rows.select("frame_id", F.floor(F.col("k") / len(at_x)).cast("int").alias("bin_y"), (F.col("k") % len(at_x)).cast("int").alias("bin_x"), "v")

@@ -56,7 +56,7 @@ def crystallinity(cube: Cube, rad_in: float, rad_out: float, real_center: tuple[
                 found = (np.abs(np.fft.rfft2(x if cover is None else x * cover)) * spectrum).sum(axis=(1, 2))
                 yield pa.record_batch([batch.column(0), pa.array(found)], ["frame_id", "intensity"])
 
-    return cube.df.select("frame_id", "frame").mapInArrow(run, "frame_id long, intensity double")
+    return cube.mapped(run, "frame_id long, intensity double")
 
 
 def fft_frames(cube: Cube, real_center: tuple[float, float] | None = None, real_rad: float | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def fft_frames(cube: Cube, real_center: tuple[float, float] | None = None, real_
             offsets = pa.array(np.arange(len(out) + 1) * out[0].size, pa.int32())
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["frame_id", "frame"])
 
-    return cube.df.select("frame_id", "frame", *(["frame_im"] if both else [])).mapInArrow(run, "frame_id long, frame array<double>")
+    return cube.mapped(run, "frame_id long, frame array<double>")
 
 
 def fft_of(image: np.ndarray, real_center: tuple[float, float] | None = None, real_rad: float | None = None) -> np.ndarray:

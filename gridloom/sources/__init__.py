@@ -26,6 +26,8 @@ __all__ = ["FormatError", "FrameSource", "Layout", "detect", "load", "register",
 
 #: Bytes of decoded frames of one input partition.
 PARTITION_BYTES = 128 * 1024 * 1024
+#: Bytes of a partition at least, where more partitions than those would only serve to use all cores.
+LEAST_BYTES = 16 * 1024 * 1024
 #: Bytes of one Arrow batch.
 BATCH_BYTES = 8 * 1024 * 1024
 
@@ -181,12 +183,14 @@ def load(spark: SparkSession, filetype: str, path: str | None = None, *, sync_of
     if int(np.prod(layout.nav_shape)) > layout.n_frames + abs(sync_offset):
         raise FormatError(f"{layout.n_frames} frames for {layout.nav_shape}")
     register(spark)
-    reader = spark.read.format("gridloom").option("layout", json.dumps(asdict(layout)))
-    if num_partitions:
-        reader = reader.option("partitions", num_partitions)
-    df = reader.load()
+    size = ARROW[column_type(layout.dtype)].bit_width // 8 * layout.n_frames * layout.n_px
+    if not num_partitions:  # small files still use the cores there are
+        num_partitions = max(1, -(-size // PARTITION_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    df = spark.read.format("gridloom").option("layout", json.dumps(asdict(layout))).option("partitions", num_partitions).load()
     shape = tuple(layout.nav_shape)
     cube = Cube(df, shape, tuple(layout.sig_shape), np.dtype(layout.dtype).kind == "c", REGISTRY[filetype].found_corrections(path))
+    if cube.n_frames == layout.n_frames:
+        cube = replace(cube, origin=(df, asdict(layout), num_partitions, ()))
     if sync_offset:
         return cube.synced(sync_offset)
     return cube if cube.n_frames == layout.n_frames else replace(cube, df=df.filter(f"frame_id < {cube.n_frames}"))

@@ -315,10 +315,6 @@ def _batches(it: Iterator[pa.RecordBatch], sig: tuple[int, ...], aux_names: list
         yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), {n: np.concatenate([h[2][n] for h in held]) for n in aux_names}
 
 
-def _columns(cube: Cube, aux_names: list[str]) -> list[str]:
-    return ["frame_id", "frame", *(["frame_im"] if cube.complex else []), *aux_names]
-
-
 def _nav_rows(cube: Cube, frames: DataFrame, udf: FrameUDF, aux_names: list[str]) -> DataFrame:
     nav, sig, both = cube.nav_shape, cube.sig_shape, cube.complex
     shown = {k: b for k, b in udf.get_result_buffers().items() if b.kind == "nav" and b.use is None}
@@ -334,7 +330,7 @@ def _nav_rows(cube: Cube, frames: DataFrame, udf: FrameUDF, aux_names: list[str]
         finally:
             task.udf.cleanup()
 
-    return frames.select(*_columns(cube, aux_names)).mapInArrow(run, "frame_id long, " + ", ".join(f"`{k}` {t}" for k, t in kinds.items()))
+    return replace(cube, df=frames).mapped(run, "frame_id long, " + ", ".join(f"`{k}` {t}" for k, t in kinds.items()), *aux_names)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -387,7 +383,7 @@ def _combined(cube: Cube, udfs: list[FrameUDF], parts: list[tuple[int, list]]) -
 def _parts(cube: Cube, frames: DataFrame, udfs: list[FrameUDF], aux_names: list[str]) -> list[tuple[int, list]]:
     """Partial buffers of all tasks: merged in a tree of tasks as far as they may be merged in any order."""
     nav, sig, both = cube.nav_shape, cube.sig_shape, cube.complex
-    bare = replace(cube, df=None, corrections=None)  # what the tasks need of it: its shapes
+    bare = replace(cube, df=None, corrections=None, origin=None)  # what the tasks need of it: its shapes
 
     def packed(parts: list[tuple[int, list]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([parts[0][0]], pa.int64()), pa.array([pickle.dumps(parts)], pa.binary())], ["first", "data"])
@@ -418,8 +414,8 @@ def _parts(cube: Cube, frames: DataFrame, udfs: list[FrameUDF], aux_names: list[
             yield packed(held)
 
     schema = "first long, data binary"
-    parts = frames.select(*_columns(cube, aux_names)).mapInArrow(run, schema)
-    n = frames.rdd.getNumPartitions()
+    parts = replace(cube, df=frames).mapped(run, schema, *aux_names)
+    n = parts.rdd.getNumPartitions()
     while n > 1:  # a shuffle of one row a task in each level; the frames themselves are processed where they are
         n = -(-n // FAN)
         parts = parts.repartition(n, F.xxhash64("first")).mapInArrow(fold, schema)
@@ -445,7 +441,7 @@ def map_frames(cube: Cube, f) -> DataFrame:  # noqa: ANN001
                 out[i] = f(frame)
             yield pa.record_batch([pa.array(ids), pa.array(_nav_values(b, out), _arrow(kind))], ["frame_id", "result"])
 
-    return cube.df.select(*_columns(cube, [])).mapInArrow(run, f"frame_id long, result {kind}")
+    return cube.mapped(run, f"frame_id long, result {kind}")
 
 
 def monitor(mapped: DataFrame) -> DataFrame:
