@@ -2,6 +2,12 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All stages but the last return the columns of ``docs``.
+
+Defined results, of every stage: a null text is an empty one; texts without a letter have no language and go in the
+first stage; very long texts are read whole, piece by piece; repeated rows count as one in the models' samples and as
+copies in the dedup stages, where of equal rows one stays; ties go to the smallest doc_id, a null one last; rows with a
+null doc_id teach nothing and are judged like others; an empty table passes through as an empty one; columns beside
+doc_id, text and lang (only to learn from) are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +37,10 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each component of texts with a 5-word similarity of 0.8 or more."""
+    """Keeps the row with the smallest doc_id of each component of texts with a 5-word similarity of 0.8 or more.
+
+    Bit-sliced SimHash comparison as in operator 9, with wider fingerprints of 5-word shingles and an exact check.
+    """
     ship(spark)
     return near_copies.near_dedup(docs)
 
@@ -47,7 +56,7 @@ STAGES = [
     ("language ID", identify_language),
     ("toxicity", remove_toxic),
     ("exact dedup", remove_copies),
-    ("near-dedup", remove_near_copies),
+    ("SimHash near-dedup", remove_near_copies),
     ("best-fit packing", pack),
 ]
 
