@@ -1,13 +1,15 @@
 """License scans with MinHash bands over overlapping word windows, in DataFrame operations only.
 
-A text becomes its words (lower case, letters and digits) and the hashes of its word pairs (shingles). Templates are
-single notices or whole license texts of any length from two shingles on. They fall into size classes (see
+A text becomes its words (lower case, letters and digits) and the hashes of its shingles: word pairs for notices, and
+five words for templates of over ``LONG`` words, whose single pairs would be common ones. Templates are single notices
+or whole license texts of any length from two shingles on. They fall into size classes (see
 :func:`size_class`); for each class in use windows of a fixed number of shingles overlap so that some window holds any
 template of the class whole, and the template is at least half of that window. Each window has ``bands`` MinHash
 values of one row each, and a window retrieves a template where a value is equal. With a Jaccard similarity of J a
 template is missed with probability (1 - J)^bands: for a whole copy J >= 0.5, 1e-6 at 20 bands; for the least verified
-share of 0.8 in the widest window J >= 0.36, 1.3e-4. What is retrieved is verified exactly, by the word pairs
-themselves: the share of the template's distinct pairs that are in the window.
+share of 0.8 in the widest window J >= 0.36, 1.3e-4. (Pairs of function words have no part in a template's MinHash;
+where they are a fifth of it, J falls by as much.) What is retrieved is verified exactly, by the shingles
+themselves: the share of the template's distinct shingles that are in the window.
 
 A band value can only equal a template's where the window holds that template's minimal shingle, so windows are made
 only around such shingles. This leaves out windows whose bands cannot collide, nothing else, and texts without one
@@ -22,10 +24,14 @@ an error; no match gives no row; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.cube import constant
+
 #: Notices as their licenses (or custom) word them, and whole license texts without their copyright lines.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -73,6 +79,10 @@ TEMPLATES = {
 }
 BANDS = 20
 CONTAINMENT = 0.8
+#: Templates of more words are compared by shingles of five words, others by pairs.
+LONG = 40
+#: Pairs of these words are left out of a template's MinHash (not of its verification): they are in nearly every text.
+FUNCTION_WORDS = "a an and any are as at be by for from in is it not of on or that the this to was with".split()
 
 
 def size_class(n: int) -> tuple[int, int]:
@@ -95,20 +105,30 @@ def words(text: Column) -> Column:
     return F.split(plain, " ")
 
 
-def _pairs(w: Column, of) -> Column:  # noqa: ANN001
-    """``of`` two neighbouring words, for all of them, in order."""
-    n = F.size(w) - 1
-    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), of)
+def shingle_words(n_words: int) -> int:
+    """Words of a shingle for a template of so many words."""
+    return 5 if n_words > LONG else 2
 
 
 def cut(text: Column) -> Column:
-    """w (words) and h (hashes of all pairs of neighbouring words). The words are the variable of a lambda, so they are made once."""
-    return F.element_at(F.transform(F.array(words(text)), lambda w: F.struct(w.alias("w"), _pairs(w, lambda a, b: F.xxhash64(a, b)).alias("h"))), 1)
+    """w (words), h2 and h5 (hashes of all shingles of two and five words). The words are the variable of a lambda, so they are made once."""
+    def hashed(w: Column) -> Column:
+        n = F.size(w)
+        h2 = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
+        return F.struct(w.alias("w"), h2.alias("h2"))
+
+    def longer(c: Column) -> Column:
+        n = F.greatest(F.size(c["w"]) - 4, F.lit(0))
+        h4 = F.zip_with(F.slice(c["h2"], F.lit(1), n), F.slice(c["h2"], F.lit(3), n), lambda a, b: F.xxhash64(a, b))
+        h5 = F.zip_with(h4, F.slice(c["w"], F.lit(5), n), lambda a, b: F.xxhash64(a, b))
+        return F.struct(c["w"].alias("w"), c["h2"].alias("h2"), h5.alias("h5"))
 
+    return F.element_at(F.transform(F.transform(F.array(words(text)), hashed), longer), 1)
 
-def plain_pairs(w: Column) -> Column:
-    """The distinct pairs themselves."""
-    return F.array_distinct(_pairs(w, lambda a, b: F.concat_ws(" ", a, b)))
+
+def plain_shingles(w: Column, k: Column) -> Column:
+    """The distinct shingles of ``k`` words themselves."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.concat_ws(" ", F.slice(w, i, k))))
 
 
 def _under(window: Column, i: int) -> Column:
@@ -139,23 +159,35 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     templates = templates or TEMPLATES
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, v) for k, v in templates.items()], "license string, notice string").withColumn("cut", cut(F.col("notice")))
-    table = table.select("license", F.array_distinct("cut.h").alias("own"), plain_pairs(F.col("cut.w")).alias("pairs")).filter(F.size("own") > 1)
-    table = table.withColumn("bands", _bands(F.col("own"), bands)).withColumn("minimal", F.flatten(F.array(*[_minimal(F.col("own"), i) for i in range(bands)])))
+    table = table.withColumn("k", F.when(F.size("cut.w") > LONG, 5).otherwise(2)).filter(F.size("cut.w") > 2)
+    table = table.select("license", "k", F.array_distinct(F.when(F.col("k") == 5, F.col("cut.h5")).otherwise(F.col("cut.h2"))).alias("own"), plain_shingles(F.col("cut.w"), F.col("k")).alias("plain")).filter(F.size("own") > 1)
+    usual = spark.createDataFrame([(a, b) for a in FUNCTION_WORDS for b in FUNCTION_WORDS], "a string, b string").select(F.xxhash64("a", "b")).collect()
+    telling = F.array_except("own", constant(np.array([r[0] for r in usual], np.int64)))
+    table = table.withColumn("telling", F.when(F.size(telling) > 1, telling).otherwise(F.col("own")))
+    table = table.withColumn("bands", _bands(F.col("telling"), bands)).withColumn("minimal", F.flatten(F.array(*[_minimal(F.col("telling"), i) for i in range(bands)])))
     rows = table.collect()  # the template list, fixed
     if bad := sorted(set(templates) - {r["license"] for r in rows}):
-        raise ValueError(f"templates of under two word pairs: {bad}")
-    # the shingles of templates that are minimal under some hash
-    anchors = sorted({x for r in rows for x in r["minimal"]})
-    hashed = docs.select("doc_id", cut(F.col("text")).alias("cut")).select("doc_id", "cut.w", "cut.h").filter(F.exists("h", lambda x: x.isin(anchors)))
-    hit = hashed.withColumn("at", F.filter(F.transform("h", lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull()))
-    starts = F.concat(*[_windows(F.col("at"), size, step) for size, step in sorted({size_class(len(r["own"])) for r in rows})])
-    # each window takes its own part of the text along, and nothing else
-    parts = F.transform(starts, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.slice("h", s["start"] + 1, s["size"]).alias("window"), F.slice("w", s["start"] + 1, s["size"] + 1).alias("words")))
-    windows = hit.select("doc_id", F.explode(parts).alias("part")).select("doc_id", "part.*")
+        raise ValueError(f"templates of under two shingles: {bad}")
+    kinds = sorted({r["k"] for r in rows})
+    # the shingles of templates that are minimal under some hash, and those of them that a text has
+    anchors = {k: constant(np.array(sorted({x for r in rows if r["k"] == k for x in r["minimal"]}), np.int64)) for k in kinds}
+    # a generator, so that what follows reads the arrays instead of making them again
+    hashed = docs.select("doc_id", F.inline(F.array(cut(F.col("text")))))
+    hit = hashed.filter(reduce(lambda a, b: a | b, [F.arrays_overlap(f"h{k}", anchors[k]) for k in kinds]))
+    hit = hit.select("doc_id", "w", *[f"h{k}" for k in kinds], *[F.array_intersect(f"h{k}", anchors[k]).alias(f"found{k}") for k in kinds])
+    def windows_of(k: int) -> Column:
+        """Each window takes its own part of the text along, and nothing else."""
+        at = F.filter(F.transform(f"h{k}", lambda x, i: F.when(F.array_contains(f"found{k}", x), i)), lambda i: i.isNotNull())
+        sizes = sorted({size_class(len(r["own"])) for r in rows if r["k"] == k})
+        starts = F.element_at(F.transform(F.array(at), lambda places: F.concat(*[_windows(places, size, step) for size, step in sizes])), 1)
+        return F.transform(starts, lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["size"].alias("size"), F.slice(f"h{k}", s["start"] + 1, s["size"]).alias("window"), F.slice("w", s["start"] + 1, s["size"] + k - 1).alias("words")))
+
+    parts = [windows_of(k) for k in kinds]
+    windows = hit.select("doc_id", F.explode(F.concat(*parts)).alias("part")).select("doc_id", "part.*")
     keyed = windows.select("*", F.posexplode(_bands(F.col("window"), bands)).alias("band", "key"))
-    listed = spark.createDataFrame([(r["license"], size_class(len(r["own"]))[0], i, key, r["pairs"]) for r in rows for i, key in enumerate(r["bands"])], "license string, size int, band int, key long, pairs array<string>")
-    found = keyed.join(F.broadcast(listed), ["size", "band", "key"])
-    share = F.size(F.array_intersect(plain_pairs(F.col("words")), F.col("pairs"))) / F.size("pairs")
+    listed = spark.createDataFrame([(r["license"], r["k"], size_class(len(r["own"]))[0], i, key, r["plain"]) for r in rows for i, key in enumerate(r["bands"])], "license string, k int, size int, band int, key long, plain array<string>")
+    found = keyed.join(F.broadcast(listed), ["k", "size", "band", "key"])
+    share = F.size(F.array_intersect(plain_shingles(F.col("words"), F.col("k")), F.col("plain"))) / F.size("plain")
     return found.select("doc_id", "license", "start", "size", share.alias("containment")).filter(F.col("containment") >= containment).distinct()
 
 
@@ -166,24 +198,27 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
 
 
 def brute_force(texts: dict[int, str | None], templates: dict[str, str] | None = None, containment: float = CONTAINMENT, step: int | None = None) -> dict[tuple[int, str], float]:
-    """(doc_id, license) -> best containment over all windows, from word pairs themselves; for tests.
+    """(doc_id, license) -> best containment over all windows, from the shingles themselves; for tests.
 
     step: of the windows; None for that of the scan, 1 for windows at every position.
     """
     out: dict[tuple[int, str], float] = {}
 
-    def pairs(text: str) -> list[tuple[str, str]]:
-        w = re.findall(r"[^\W_]+", text.lower())
-        return list(zip(w, w[1:], strict=False))
+    def cut_words(text: str) -> list[str]:
+        return re.findall(r"[^\W_]+", text.lower())
+
+    def shingles(w: list[str], k: int) -> list[tuple[str, ...]]:
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
 
     for name, notice in (templates or TEMPLATES).items():
-        own = set(pairs(notice))
+        k = shingle_words(len(cut_words(notice)))
+        own = set(shingles(cut_words(notice), k))
         size, usual = size_class(len(own))
         for doc_id, text in texts.items():
-            all_pairs = pairs(text or "")
-            if own.isdisjoint(all_pairs):
+            every = shingles(cut_words(text or ""), k)
+            if own.isdisjoint(every):
                 continue
-            best = max((len(own & set(all_pairs[s : s + size])) / len(own) for s in range(0, max(1, len(all_pairs)), step or usual)), default=0.0)
+            best = max((len(own & set(every[s : s + size])) / len(own) for s in range(0, max(1, len(every)), step or usual)), default=0.0)
             if best >= containment:
                 out[doc_id, name] = best
     return out
