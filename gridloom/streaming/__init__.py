@@ -8,6 +8,7 @@ more aggregate. Queries carry tags, can be stopped between micro-batches, and ta
 from __future__ import annotations
 
 import threading
+from collections import deque
 from collections.abc import Callable
 from concurrent.futures import Future
 from dataclasses import dataclass, field
@@ -30,15 +31,23 @@ def stream_cube(frames: DataFrame, nav_shape: tuple[int, ...], sig_shape: tuple[
 
 @dataclass
 class Snapshots:
-    """Snapshots of a running query; iterating waits for the next one until the stream ends."""
+    """Snapshots of a running query; iterating waits for the next one until the stream ends.
+
+    The last ``keep`` are held; a reader that falls behind them goes on with the oldest that is left.
+    """
 
     query: StreamingQuery | None = None
-    _items: list[tuple[int, list]] = field(default_factory=list)
+    keep: int = 16
+    _items: deque[tuple[int, list]] = field(default_factory=deque)
+    _gone: int = 0
     _news: threading.Condition = field(default_factory=threading.Condition)
 
     def add(self, batch: int, rows: list) -> None:
         with self._news:
             self._items.append((batch, rows))
+            while len(self._items) > self.keep:
+                self._items.popleft()
+                self._gone += 1
             self._news.notify_all()
 
     def latest(self) -> list | None:
@@ -49,13 +58,14 @@ class Snapshots:
         at = 0
         while True:
             with self._news:
-                while at >= len(self._items):
+                while at >= self._gone + len(self._items):
                     if self.query is not None and not self.query.isActive:
                         if self.query.exception():
                             raise self.query.exception()
                         return
                     self._news.wait(0.2)
-                item = self._items[at]
+                at = max(at, self._gone)
+                item = self._items[at - self._gone]
             at += 1
             yield item
 
@@ -68,12 +78,12 @@ class Snapshots:
         return {"batch": last["batchId"], "rows": last["numInputRows"]} if last else {"batch": -1, "rows": 0}
 
 
-def snapshots(result: DataFrame, mode: str = "complete", once: bool = True, checkpoint: str | None = None) -> Snapshots:
+def snapshots(result: DataFrame, mode: str = "complete", once: bool = True, checkpoint: str | None = None, keep: int = 16) -> Snapshots:
     """Runs a streaming aggregate; each micro-batch's full result is one snapshot.
 
     A snapshot is as large as the result (a frame, or a row per navigation position for append mode), not the input.
     """
-    out = Snapshots()
+    out = Snapshots(keep=keep)
 
     def keep(batch: DataFrame, number: int) -> None:
         out.add(number, batch.collect())

@@ -513,6 +513,19 @@ def test_small_formats(tmp_path):
     assert (f.K2IS.unpack(packed.reshape(-1)) == values).all()
 
 
+def test_snapshots_are_bounded():
+    from gridloom.streaming import Snapshots
+
+    held = Snapshots(keep=3)
+    for k in range(3):
+        held.add(k, [k])
+    reader = iter(held)
+    assert next(reader) == (0, [0])
+    for k in range(3, 8):
+        held.add(k, [k])
+    assert next(reader) == (5, [5]) and next(reader) == (6, [6]) and held.latest() == [7]
+
+
 def test_stream(spark, tmp_path):
     from gridloom import streaming as s
 
