@@ -23,12 +23,16 @@ from gridloom.operators.reduce import frames_of
 
 @dataclass(frozen=True)
 class FixedLayout:
-    """A file with a header and records of one size: head, bytes before a frame, type of its pixels, bytes after it."""
+    """A file with a header and records of one size: head, bytes before a frame, type of its pixels, bytes after it.
+
+    ``spare`` records with blank frames follow those of the cube, where a header can't say its number of frames.
+    """
 
     head: bytes
     before: bytes
     dtype: str
     after: int = 0
+    spare: int = 0
 
 
 def _npy(cube: Cube, dtype: str) -> FixedLayout:
@@ -56,14 +60,27 @@ def _mrc(cube: Cube, dtype: str) -> FixedLayout:
 
 
 def _blo(cube: Cube, dtype: str) -> FixedLayout:
+    """The header's scan is the cube's if its 16-bit sizes can hold it, else another grid of the same frames.
+
+    Of those grids it is the one with the fewest spare frames, which is none unless the number has no such factors;
+    readers give the navigation shape to have the cube's own.
+    """
     from gridloom.sources.formats import Blo
 
     head = np.zeros(1, Blo.HEAD)
-    (ny, nx), (side, other) = cube.nav_shape, cube.sig_shape
+    n, most, (side, other) = cube.n_frames, np.iinfo(Blo.HEAD["nx"]).max, cube.sig_shape
     if side != other:
         raise ValueError("a blockfile has square frames")
+    if n > most**2:
+        raise ValueError(f"a blockfile has at most {most} x {most} frames")
+    if len(cube.nav_shape) == 2 and max(cube.nav_shape) <= most:
+        ny, nx = cube.nav_shape
+    else:
+        widths = np.arange(max(1, -(-n // most)), most + 1)
+        nx = int(widths[np.argmin(-n % widths)])
+        ny = -(-n // nx)
     head["magic"], head["data_2"], head["dp_sz"], head["nx"], head["ny"] = Blo.MAGIC, 256, side, nx, ny
-    return FixedLayout(head.tobytes().ljust(256, b"\0"), b"\xaa\x55\0\0\0\0", dtype)
+    return FixedLayout(head.tobytes().ljust(256, b"\0"), b"\xaa\x55\0\0\0\0", dtype, spare=nx * ny - n)
 
 
 def _seq(cube: Cube, dtype: str) -> FixedLayout:
@@ -102,7 +119,10 @@ def write_frames(cube: Cube, path: str, kind: str = "npy", dtype: object = np.fl
     part = f"{path}.{uuid.uuid4().hex}.part"
     with open(part, "wb") as file:
         file.write(layout.head)
-        file.truncate(first + cube.n_frames * stride)
+        file.truncate(first + (cube.n_frames + layout.spare) * stride)
+        for k in range(cube.n_frames, cube.n_frames + layout.spare):
+            file.seek(first + k * stride)
+            file.write(layout.before)
     both = cube.complex
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom import sinks, sources, udf
 from gridloom.api import Context
@@ -431,6 +432,22 @@ def test_formats_written_and_read(spark, tmp_path, kind, name, dtype):
         ctx.write(cube, path, kind, dtype)
 
 
+@pytest.mark.parametrize(("n", "spare"), [(65540, 0), (65537, 1)])  # the second one is a prime
+def test_blockfiles_of_more_frames_than_an_axis_can_say(spark, tmp_path, n, spare):
+    ctx = Context(spark)
+    frame = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: ((F.col("id") * 7 + k) % 251).cast("double"))
+    cube = Cube.from_dataframe(spark.range(n), "id", frame, (n, 1), (3, 3))
+    path = str(tmp_path / "a.blo")
+    ctx.write(cube, path, "blo", "|u1")
+    own = ctx.load("blo", path)
+    assert own.n_frames == n + spare and max(own.nav_shape) < 1 << 16
+    want = (np.arange(n)[:, None] * 7 + np.arange(9)) % 251
+    back = ctx.load("blo", path, nav_shape=cube.nav_shape)
+    assert back.nav_shape == (n, 1) and back.df.count() == n
+    got = own.to_numpy().reshape(-1, 9)
+    assert (got[:n] == want).all() and not got[n:].any()
+
+
 def test_corrections_beside_a_sequence_apply(spark, tmp_path):
     ctx = Context(spark)
     x = np.random.default_rng(0).integers(5, 200, (2, 3, 8, 8)).astype(float)
